@@ -10,7 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Cohort and subject number; then, after a separator, a three-digit visit. Used on lower case text with plain digits.
-CASE = r"(?:^|[^a-z0-9]|brats)(?:(gli|goat)[^a-z0-9]*([0-9]{5,})|(hcp)[^a-z0-9]*([0-9]{7,}))(?:[^a-z0-9]+([0-9]{3})(?:[^0-9]|$))?"
+CASE = (
+    r"(?s)^.*?(?:^|[^a-z0-9]|(?<=brats))(?:(gli|goat)[^a-z0-9]*(?=[0-9]{5})|(hcp)[^a-z0-9]*(?=[0-9]{7}))0*([0-9]+)"
+    r"(?:[^a-z0-9]+([0-9]{3})(?![0-9]))?.*$"
+)
+#: Marks a text that CASE has read, as no text holds it after plain().
+READ = "\x01"
 
 
 @cache
@@ -22,12 +27,13 @@ def _plain_table() -> tuple[str, str]:
 
 
 def plain(text: Column) -> Column:
-    """Lower case, with digits of any script and full-width letters as ASCII."""
-    return F.lower(F.translate(text, *_plain_table()))
+    """Lower case, with digits of any script and full-width letters as ASCII, and no mark of CASE."""
+    return F.lower(F.when(text.rlike(r"[^\x02-\x7F]"), F.translate(text, _plain_table()[0] + READ, _plain_table()[1])).otherwise(text))
 
 
-def _part(text: Column, group: int) -> Column:
-    return F.regexp_extract(text, CASE, group)
+def _read(name: Column) -> Column:
+    """Mark, cohort-number-visit; another text where cohort and number can't be read. Evaluated once a name."""
+    return F.regexp_replace(plain(name), CASE, f"{READ}$1$2-$3-$4")
 
 
 def subject_key(name: Column) -> Column:
@@ -35,23 +41,17 @@ def subject_key(name: Column) -> Column:
 
     Null and empty names give null. Leading zeros, case, separators, quotes, folders and endings don't matter.
     """
-    text = plain(name)
-    cohort = F.concat(_part(text, 1), _part(text, 3))
-    number = F.regexp_replace(F.concat(_part(text, 2), _part(text, 4)), "^0+(?=.)", "")
-    return F.when(cohort != "", F.concat_ws("-", cohort, number))
+    return F.nullif(F.regexp_extract(_read(name), f"^{READ}([a-z]+-[0-9]+)-", 1), F.lit(""))
 
 
 def case_key(name: Column) -> Column:
     """'cohort-number-visit' (no visit for the goat cohort); null where a part is missing."""
-    text = plain(name)
-    visit = _part(text, 5)
-    subject = subject_key(name)
-    return F.when(subject.startswith("goat-"), subject).when(visit != "", F.concat_ws("-", subject, visit))
+    return F.nullif(F.regexp_extract(_read(name), f"(?<=^{READ})(?:goat-[0-9]+|(?:gli|hcp)-[0-9]+-[0-9]{{3}}$)", 0), F.lit(""))
 
 
-def cohort(name: Column) -> Column:
-    """'gli', 'hcp' or 'goat'; null for unreadable names."""
-    return F.split_part(subject_key(name), F.lit("-"), F.lit(1))
+def cohort_of(key: Column) -> Column:
+    """'gli', 'hcp' or 'goat' of a subject or case key; null for null."""
+    return F.substring_index(key, "-", 1)
 
 
 def file_key(path: Column) -> Column:
@@ -59,4 +59,4 @@ def file_key(path: Column) -> Column:
     bare = F.regexp_replace(path, r"(?U)^\s+|[\s/\\]+$", "")
     last = F.substring_index(F.translate(bare, "\\", "/"), "/", -1)
     key = F.lower(F.regexp_replace(last, r"(?U)^\s+|\s+$", ""))
-    return F.when(key != "", key)
+    return F.nullif(key, F.lit(""))

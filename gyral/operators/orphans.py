@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyral.plans.skew import heavy_keys, split_join
+from gyral.session import cut
 
 #: Broadcast bound, in rows, of the heavy keys' lifetimes; beyond it they are salted instead.
 BROADCAST_ROWS = 200_000
@@ -45,7 +46,7 @@ def orphan_references(refs: DataFrame, files: DataFrame, share: float = 0.001) -
     checked by broadcast, all others by a shuffled join on the key; both parts are united. Only references to
     keys with several lifetimes (a file that came back) take the second, interval-wise anti-join.
     """
-    spans = lifetimes(files)
+    spans = cut(lifetimes(files), "p5-spans")
     summary = spans.groupBy("key").agg(F.min("start").alias("first"), F.min("stop").alias("gone"), F.count("*").alias("spans"))
     refs = refs.filter(F.col("key").isNotNull()).select("ref_table", "row_id", "key", "t")
     counted = refs.groupBy("key", F.date_trunc("month", "t").alias("period")).count()
