@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyral.functions.ids import case_key, cohort, file_key, subject_key
+from gyral.functions.ids import case_key, file_key, subject_key
 from gyral.llm import history, overlap, similar
 from gyral.session import shared_dir
 
@@ -33,7 +33,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("names")
-    rows = _manifest(spark, sf_dir).select(F.col("manifest_id").alias("id"), "split_name", case_key(name).alias("case"), cohort(name).alias("cohort"))
+    rows = _manifest(spark, sf_dir).select(F.col("manifest_id").alias("id"), "split_name", case_key(name).alias("case"))
     vectors = _donors(spark, sf_dir).select(case_key(file_key(F.col("paths"))).alias("case"), "emb")
     return overlap.cross_split(rows, vectors)
 
