@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyral.functions.ids import case_key, file_key, subject_key
-from gyral.llm import history, overlap, similar
+from gyral.functions.ids import case_key, cohort_of, file_key, subject_key
+from gyral.llm import history, language, overlap, packing, similar, splits, tokens
 from gyral.session import shared_dir
 
 
@@ -46,9 +46,76 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_report(_overlap(spark, sf_dir))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _manifest(spark, sf_dir).select(F.col("manifest_id").alias("id"), subject_key(F.col("names")).alias("subject"), "names")
+    alias = spark.read.parquet(f"{sf_dir}/subject_alias.parquet").filter(F.lower(F.trim("verdict")) == "same")
+    links = alias.select(subject_key(F.col("name_a")).alias("a"), subject_key(F.col("name_b")).alias("b")).filter("a is not null and b is not null")
+    return rows, links
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, links = _named(spark, sf_dir)
+    return splits.first_of_group(splits.related(rows, links)).withColumnRenamed("id", "manifest_id")
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, links = _named(spark, sf_dir)
+    variant = F.when(F.lower("names").rlike("[^a-z0-9]m[0-9]"), "decoy").when(F.col("names").rlike("[^0-9][0-9]{4}([^0-9]|$)"), "mask").otherwise("whole")
+    labels = rows.select("id", F.concat_ws("/", F.coalesce(cohort_of(F.col("subject")), F.lit("unreadable")), variant).alias("label"))
+    groups = splits.related(rows, links).join(labels, "id")
+    return splits.stratified(groups, spark.read.parquet(f"{sf_dir}/split_plan.parquet")).select(F.col("id").alias("manifest_id"), "split_name")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "ids")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_ids(spark, sf_dir).select("doc_id", F.nullif(tokens.decode_ids(F.col("ids")), F.lit("")).alias("text"))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = tokens.encode(_documents(spark, sf_dir).select("doc_id", "text"))
+    return packing.pack(sized.select(F.col("doc_id").alias("id"), F.size("ids").alias("size")))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumnsRenamed({"id": "doc_id", "first": "first_token", "size": "n_tokens"})
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, sf_dir))
+
+
+def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "lang")
+    languages = spark.read.parquet(f"{sf_dir}/languages.parquet")
+    return docs, language.detect(docs, language.fitted(docs, languages)), languages
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.unstated(*_spoken(spark, sf_dir)).select(F.col("id").alias("doc_id"), "lang")
+
+
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spoken(spark, sf_dir)[1].select(F.col("id").alias("doc_id"), "segment", "text", "lang", "confidence")
+
+
+def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.spoken(_spoken(spark, sf_dir)[1]).withColumnRenamed("id", "doc_id")
+
+
+#: SQL sees the decoded text again in the table itself.
+SQL = {"p6_decoded": "SELECT doc_id, nullif(text, '') AS text FROM documents"}
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p4_report)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p4_found, p4_report, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_segments, p8_languages)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
