@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gyral.functions.ids import case_key, cohort_of, file_key, subject_key
 from gyral.llm import history, language, overlap, packing, similar, splits, tokens
-from gyral.session import shared_dir
+from gyral.session import cut, shared_dir
 
 
 def _donors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,8 @@ def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = tokens.encode(_documents(spark, sf_dir).select("doc_id", "text"))
-    return packing.pack(sized.select(F.col("doc_id").alias("id"), F.size("ids").alias("size")))
+    # written once: the plans of pack() then carry sizes only, not the encoder and its constants
+    return packing.pack(cut(sized.select(F.col("doc_id").alias("id"), F.size("ids").alias("size")), "p7-sizes"))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 FIRST = 0x100
 BUCKETS = 16_384
 #: Most frequent words that are looked up instead of folded anew, and their longest length: only speed depends on it.
-DICTIONARY, LONGEST = 65_536, 48
+DICTIONARY, LONGEST = 32_768, 48
 
 
 @cache
