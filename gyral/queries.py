@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gyral.operators.donors import donor_files, donor_references
 from gyral.operators.orphans import orphan_references, orphan_report
+from gyral.plans import grids, masks, pipeline, registry, retrieval, sampling  # noqa: F401 - registers its queries
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,8 +37,8 @@ SQL = {
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p5_found, p5_report)}
+    return registry.QUERIES | {f.__name__: f for f in (p5_found, p5_report)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return registry.SQL | SQL
