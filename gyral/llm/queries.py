@@ -110,8 +110,53 @@ def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.spoken(_spoken(spark, sf_dir)[1]).withColumnRenamed("id", "doc_id")
 
 
-#: SQL sees the decoded text again in the table itself.
-SQL = {"p6_decoded": "SELECT doc_id, nullif(text, '') AS text FROM documents"}
+_FILE = r"nullif(lower(trim(regexp_extract(replace(regexp_replace({0}, '[\s/\\]+$', ''), '\', '/'), '[^/]*$'), e' \t\n\r')), '')"
+_VALID = f"""d AS (SELECT donor_id, batch_no, {_FILE.format('paths')} AS file, emb::DOUBLE[] AS e FROM donor_index
+  WHERE len(emb) = 144 AND list_bool_and(list_transform(emb, lambda x: coalesce(isfinite(x), false))) AND list_min(emb) < list_max(emb)),
+c AS (SELECT * REPLACE (list_transform(e, lambda x: x - list_avg(e)) AS e) FROM d), v AS (SELECT * REPLACE (list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e) FROM c)"""
+_WIDE = "".join(chr(0xFF10 + i) for i in range(10))
+_CASE = r"(^|[^a-z0-9]|brats)((gli|goat)[^a-z0-9]*([0-9]{{5,}})|(hcp)[^a-z0-9]*([0-9]{{7,}}))([^a-z0-9]+([0-9]{{3}})([^0-9]|$))?"
+
+
+def _group(name: str, n: int) -> str:
+    return f"regexp_extract(lower(translate({name}, '{_WIDE}', '0123456789')), '{_CASE.replace('{{', '{').replace('}}', '}')}', {n})"
+
+
+def _subject(name: str) -> str:
+    cohort_, number = f"{_group(name, 3)} || {_group(name, 5)}", f"{_group(name, 4)} || {_group(name, 6)}"
+    return f"CASE WHEN {cohort_} <> '' THEN {cohort_} || '-' || CAST(CAST({number} AS HUGEINT) AS VARCHAR) END"
+
+
+def _case(name: str) -> str:
+    subject = _subject(name)
+    return f"CASE WHEN starts_with({subject}, 'goat-') THEN {subject} WHEN {_group(name, 8)} <> '' THEN {subject} || '-' || {_group(name, 8)} END"
+
+
+#: Exact versions; the operators for problems 1 and 4 are approximate in candidate search only.
+SQL = {
+    "p1_found": f"""WITH {_VALID}, near AS (SELECT a.donor_id AS a, b.donor_id AS b, list_dot_product(a.e, b.e) AS s FROM v a JOIN v b ON a.donor_id <> b.donor_id AND a.file IS DISTINCT FROM b.file OR (a.file IS NULL AND a.donor_id <> b.donor_id)),
+  best AS (SELECT a, b, s FROM near QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 10)
+  SELECT DISTINCT least(a, b) AS a_id, greatest(a, b) AS b_id FROM best WHERE s >= 0.86""",
+    "p3_found": f"""WITH RECURSIVE al AS (SELECT {_subject('name_a')} AS a, {_subject('name_b')} AS b FROM subject_alias WHERE verdict = 'same'),
+  e AS (SELECT a, b FROM al WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM al WHERE a IS NOT NULL AND b IS NOT NULL),
+  reach AS (SELECT a AS s, a AS r FROM e UNION SELECT e.b, reach.r FROM reach JOIN e ON e.a = reach.s),
+  root AS (SELECT s, min(r) AS r FROM reach GROUP BY 1), m AS (SELECT manifest_id, {_subject('names')} AS s FROM donor_manifest),
+  g AS (SELECT manifest_id, min(manifest_id) OVER (PARTITION BY coalesce(root.r, m.s)) AS first_id FROM m LEFT JOIN root ON root.s = m.s WHERE m.s IS NOT NULL)
+  SELECT DISTINCT first_id, manifest_id FROM g WHERE first_id <> manifest_id""",
+    "p4_found": f"""WITH {_VALID}, k AS (SELECT DISTINCT {_case('file')} AS c, e FROM v), m AS (SELECT manifest_id AS id, split_name, {_case('names')} AS c FROM donor_manifest WHERE split_name IN ('train', 'val', 'official_val')),
+  ev AS (SELECT DISTINCT c FROM m WHERE split_name <> 'train' AND c IS NOT NULL), tr AS (SELECT DISTINCT c FROM m WHERE split_name = 'train' AND c IS NOT NULL),
+  links AS (SELECT ev.c AS a, tr.c AS b FROM ev JOIN tr ON ev.c = tr.c UNION SELECT p.c, q.c FROM k p JOIN ev ON ev.c = p.c JOIN k q ON list_dot_product(p.e, q.e) >= 0.98 JOIN tr ON tr.c = q.c)
+  SELECT DISTINCT least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id FROM links JOIN m x ON x.c = links.a AND x.split_name <> 'train' JOIN m y ON y.c = links.b AND y.split_name = 'train'""",
+    "p2_found": f"""WITH RECURSIVE {_VALID}, o AS (SELECT *, row_number() OVER (ORDER BY batch_no, donor_id) AS n FROM v),
+  k AS (SELECT y.n, list(x.n) AS before FROM o x JOIN o y ON x.n < y.n AND (x.file = y.file OR list_dot_product(x.e, y.e) >= 0.98) GROUP BY 1),
+  s AS (SELECT o.n, o.donor_id, coalesce(k.before, []) AS before FROM o LEFT JOIN k ON k.n = o.n WHERE k.n IS NOT NULL OR o.n IN (SELECT unnest(before) FROM k)),
+  q AS (SELECT *, row_number() OVER (ORDER BY n) AS i FROM s),
+  run AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS rejected UNION ALL
+    SELECT q.i, CASE WHEN list_has_any(run.kept, q.before) THEN run.kept ELSE list_append(run.kept, q.n) END, CASE WHEN list_has_any(run.kept, q.before) THEN q.donor_id END FROM run JOIN q ON q.i = run.i + 1)
+  SELECT rejected AS donor_id FROM run WHERE rejected IS NOT NULL""",
+    # the encoder is held to the text itself: what it decodes to
+    "p6_decoded": "SELECT doc_id, nullif(text, '') AS text FROM documents",
+}
 
 
 def queries() -> dict:
