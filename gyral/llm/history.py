@@ -17,8 +17,9 @@ from gyral.session import cut
 STRINGS, MIN_BITS, MAX_BITS, WINDOW = 5, 15, 32, 4
 #: Shared bits, of STRINGS * dim, from which a pair goes to the exact check.
 COVERAGE = 0.042
-#: Rows at the head of a bucket to which the bucket's other rows are held in the first wave; doubled in each further wave.
-HEADS = 64
+#: Buckets of up to SMALL rows are compared whole. In larger ones all rows are held to the first HEADS undecided rows;
+#: a further wave, of what is then still undecided, takes four times as many.
+SMALL, HEADS = 64, 4
 FIT = 16_384
 
 
@@ -142,15 +143,18 @@ class DedupHistory:
     def _within(self, rows: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
         """Ids of new rows that repeat an accepted new row.
 
-        In waves: the rows of a bucket are held to its first HEADS undecided rows only, so work stays linear in the
-        bucket's size; a row is accepted once it is such a head in all its buckets and no undecided earlier row
-        repeats it. What is neither accepted nor rejected goes to the next wave with twice as many heads.
+        In waves: the rows of a large bucket are held to its first undecided rows only, so work stays linear in the
+        bucket's size; a row is accepted once it is such a head in all its large buckets and no undecided earlier row
+        repeats it. What is neither accepted nor rejected goes to the next wave with more heads.
         """
         heads, rejected = HEADS, None
         while True:
+            most = max(SMALL, heads)
             order = F.struct("batch", "id")
             ranked = buckets.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("batch", "id")))
-            first = ranked.filter(F.col("n") <= heads).groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("heads")).filter(F.size("heads") > 1)
+            first = ranked.filter(F.col("n") <= most + 1).groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("heads")).filter(F.size("heads") > 1)
+            large = F.size("heads") > most
+            first = cut(first.select("key", large.alias("large"), F.when(large, F.slice("heads", 1, heads)).otherwise(F.col("heads")).alias("heads")), "p2-heads")
             pairs = (
                 buckets.join(first, "key")
                 .select("key", "bits", "batch", F.col("id").alias("hi"), F.explode("heads").alias("head"))
@@ -162,14 +166,14 @@ class DedupHistory:
             pairs = cut(pairs.select("lo", "hi", (F.col("least") == 0).alias("sure")), "p2-pairs")
             edges = verified(pairs.filter(~F.col("sure")).select("lo", "hi"), rows.select("id", "v"), "id", least, self.dim)
             edges = cut(edges.union(pairs.filter("sure").select("lo", "hi")).distinct(), "p2-edges")
-            late = buckets.join(first.filter(F.size("heads") >= heads), "key").filter(F.struct("batch", "id") > F.element_at("heads", -1)).select("id").distinct()
+            late = buckets.join(first.filter("large"), "key").filter(F.struct("batch", "id") > F.element_at("heads", -1)).select("id").distinct()
             late = cut(late, "p2-late")
             now, open_ = resolve(edges, late)
             rejected = now if rejected is None else rejected.union(now)
             if open_.isEmpty():
                 return rejected
             buckets = cut(buckets.join(open_, "id", "left_semi"), "p2-open")
-            rows, heads = rows.join(open_, "id", "left_semi"), heads * 2
+            rows, heads = rows.join(open_, "id", "left_semi"), heads * 4
 
 
 def resolve(edges: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
