@@ -51,8 +51,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def block_means(v: Column, blocks: int) -> Column:
-    """Means of `blocks` equal runs; the remainder is trimmed off."""
-    return _let(F.floor(F.size(v) / blocks).cast("int"), lambda f: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: mean(F.slice(v, i * f + 1, f))))
+    """Means of `blocks` equal runs; the remainder is trimmed off. Null for null and for fewer numbers than blocks."""
+    means = _let(F.floor(F.size(v) / blocks).cast("int"), lambda f: F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: mean(F.slice(v, i * f + 1, f))))
+    return F.when(F.size(v) >= blocks, means)
 
 
 def fingerprint(v: Column, blocks: int) -> Column:

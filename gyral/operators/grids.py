@@ -39,12 +39,11 @@ def smoothed(series: DataFrame, by: str, place: str, value: str, sigma: float) -
     count = F.col("_n")
     rows = series.withColumn("_n", F.count("*").over(Window.partitionBy(by)))
     table = F.explode(F.array(*(F.struct(F.lit(i - r).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(weights))))
-    spread = rows.select(by, "_n", (F.col(place)).alias("_from"), F.col(value).alias("_v"), table.alias("k"))
+    spread = rows.select(by, "_n", (F.col(place)).alias("_from"), F.col(value).alias("_v"), table.alias("_k"))
     # the mirrored series has period 2n: each place takes part at its own place and at its mirror images
-    reach = r // 1
-    images = F.flatten(F.transform(F.sequence(F.lit(-1) - F.floor(F.lit(reach) / count).cast("int"), F.floor(F.lit(reach) / count).cast("int") + 1), lambda p: F.array(F.col("_from") + 2 * count * p, 2 * count * p - 1 - F.col("_from"))))
-    hit = spread.withColumn("_at", F.explode(images)).withColumn("_to", F.col("_at") - F.col("k.o")).filter((F.col("_to") >= 0) & (F.col("_to") < count))
-    summed = hit.groupBy(by, F.col("_to").alias(place)).agg(F.sum(F.col("_v") * F.col("k.w")).alias("smooth"))
+    images = F.flatten(F.transform(F.sequence(F.lit(-1) - F.floor(F.lit(r) / count).cast("int"), F.floor(F.lit(r) / count).cast("int") + 1), lambda p: F.array(F.col("_from") + 2 * count * p, 2 * count * p - 1 - F.col("_from"))))
+    hit = spread.withColumn("_at", F.explode(images)).withColumn("_to", F.col("_at") - F.col("_k.o")).filter((F.col("_to") >= 0) & (F.col("_to") < count))
+    summed = hit.groupBy(by, F.col("_to").alias(place)).agg(F.sum(F.col("_v") * F.col("_k.w")).alias("smooth"))
     return series.join(summed, [by, place])
 
 
@@ -64,9 +63,10 @@ def resampled_linear(series: DataFrame, by: str, place: str, value: str, size: i
     places = series.select(by).distinct().select(by, F.explode(F.sequence(F.lit(0), F.lit(target - 1))).alias(place))
     at = F.col(place) * F.lit(step)
     ends = places.withColumn("_low", F.least(F.floor(at), F.lit(max(0, size - 2))).cast("int")).withColumn("_f", at - F.col("_low"))
-    pairs = ends.select(by, place, F.explode(F.array(F.struct(F.col("_low").alias("s"), (1 - F.col("_f")).alias("w")), F.struct((F.col("_low") + 1).alias("s"), F.col("_f").alias("w")))).alias("e"))
+    pairs = ends.select(by, place, F.explode(F.array(F.struct(F.col("_low").alias("s"), (1 - F.col("_f")).alias("w")), F.struct((F.col("_low") + 1).alias("s"), F.col("_f").alias("w")))).alias("_e"))
     source = series.select(by, F.col(place).cast("int").alias("_s"), F.col(value).alias("_v"))
-    return pairs.select(by, place, "e.s", "e.w").join(source.withColumnRenamed("_s", "s"), [by, "s"], "left").groupBy(by, place).agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("w")).alias(value))
+    met = pairs.select(by, place, F.col("_e.s").alias("_s"), F.col("_e.w").alias("_w")).join(source, [by, "_s"], "left")
+    return met.groupBy(by, place).agg(F.sum(F.coalesce("_v", F.lit(0.0)) * F.col("_w")).alias(value))
 
 
 HAAR = [(a, b, c) for a in (0, 1) for b in (0, 1) for c in (0, 1)]

@@ -93,7 +93,7 @@ def similar_to_any(pool: DataFrame, exclude: DataFrame, vec: str) -> DataFrame:
     parts = None
     for b in range(blocks):
         rows = exclude.filter(F.pmod("n", F.lit(blocks)) == b).collect()
-        shared = spark.sparkContext.broadcast(np.array([r["v"] for r in rows], float).reshape(len(rows), -1))
+        shared = spark.sparkContext.broadcast(np.array([r["v"] for r in rows], float).reshape(len(rows), len(rows[0]["v"]) if rows else 0))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             e = shared.value
@@ -102,7 +102,9 @@ def similar_to_any(pool: DataFrame, exclude: DataFrame, vec: str) -> DataFrame:
                     continue
                 v = batch.column(1)
                 at = np.flatnonzero(np.nan_to_num(v.value_lengths().to_numpy(zero_copy_only=False).astype(float), nan=-1) == e.shape[1])
-                best = (v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), e.shape[1]) @ e.T).max(1)
+                rows = v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(at), e.shape[1])
+                at, rows = at[np.isfinite(rows).all(1)], rows[np.isfinite(rows).all(1)]
+                best = (rows @ e.T).max(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(best)], ["id", "best"])
 
         one = pool.select("id", doubles(F.col(vec))).mapInArrow(run, "id bigint, best double")

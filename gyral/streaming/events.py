@@ -12,16 +12,20 @@ def daily(events: DataFrame) -> DataFrame:
     return rows.withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-def windowed_stream(stream: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """(start, event_type, n, value) of a stream of events: tumbling windows, events later than `late` are left out.
+def timed(stream: DataFrame, late: str = "2 hours") -> DataFrame:
+    """The stream with its event time as `at`, under a watermark."""
+    return stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+
+
+def windowed(timed_stream: DataFrame, width: str = "1 day") -> DataFrame:
+    """(start, event_type, n, value) of a timed stream: tumbling windows; events behind the watermark are left out.
 
     State holds one row per open window and type; a window is given out once the watermark passes its end.
     """
-    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    rows = timed.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
+    rows = timed_stream.groupBy(F.window("at", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value"))
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def deduplicated_stream(stream: DataFrame, key: str = "event_id", late: str = "2 hours") -> DataFrame:
-    """The stream without repeats of a key that come within `late` of each other."""
-    return stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).dropDuplicatesWithinWatermark([key])
+def deduplicated(timed_stream: DataFrame, key: str = "event_id") -> DataFrame:
+    """The timed stream without repeats of a key that come within the watermark's delay of each other."""
+    return timed_stream.dropDuplicatesWithinWatermark([key])
