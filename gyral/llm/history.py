@@ -21,6 +21,8 @@ COVERAGE = 0.042
 #: a further wave, of what is then still undecided, takes four times as many.
 SMALL, HEADS = 64, 4
 FIT = 16_384
+#: Up to so many distinct chunk keys of a batch are broadcast, so that the history is read but not shuffled.
+BROADCAST_KEYS = 2_000_000
 
 
 def chunks(bits: np.ndarray, least: int = MIN_BITS, most: int = MAX_BITS, window: int = WINDOW) -> tuple[np.ndarray, ...]:
@@ -134,7 +136,8 @@ class DedupHistory:
         ]
         known = sure[0].union(sure[1]).distinct()
         left = buckets.filter(F.col("bits") > 0).join(known, "id", "left_anti")
-        keys = left.select("key").distinct()
+        keys = cut(left.select("key").distinct(), "p2-keys")
+        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
         met = self._read("chunks").join(keys, "key", "left_semi").select("key", F.col("id").alias("lo"))
         pairs = left.select("key", "bits", F.col("id").alias("hi")).join(met, "key").groupBy("lo", "hi").agg(F.sum("bits").alias("shared")).filter(F.col("shared") >= COVERAGE * STRINGS * self.dim).select("lo", "hi")
         near = verified(pairs, old.select("id", "v").unionByName(rows.select("id", "v")), "id", least, self.dim)
