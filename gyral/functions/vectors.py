@@ -59,8 +59,3 @@ def block_means(v: Column, blocks: int) -> Column:
 def fingerprint(v: Column, blocks: int) -> Column:
     """Centred block means of unit length."""
     return _let(block_means(v, blocks), lambda b: l2_unit(_let(mean(b), lambda m: F.transform(b, lambda x: x - m))))
-
-
-def ema(values: Column, decay: float) -> Column:
-    """Ordered fold s = decay * s + (1 - decay) * x from the first value."""
-    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.element_at(values, 1), lambda s, x: s * decay + x * (1 - decay))

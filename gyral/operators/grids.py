@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gyral.operators.voxels import XYZ
+from gyral.plans.ranks import group_rank
 
 
 def intensity_scale(values: Column, nonzero: bool, q: float = 0.995) -> Column:
@@ -37,7 +38,7 @@ def smoothed(series: DataFrame, by: str, place: str, value: str, sigma: float) -
     weights = gaussian_weights(sigma)
     r = len(weights) // 2
     count = F.col("_n")
-    rows = series.withColumn("_n", F.count("*").over(Window.partitionBy(by)))
+    rows = series.join(series.groupBy(by).agg(F.count("*").alias("_n")), by)
     table = F.explode(F.array(*(F.struct(F.lit(i - r).alias("o"), F.lit(w).alias("w")) for i, w in enumerate(weights))))
     spread = rows.select(by, "_n", (F.col(place)).alias("_from"), F.col(value).alias("_v"), table.alias("_k"))
     # the mirrored series has period 2n: each place takes part at its own place and at its mirror images
@@ -47,6 +48,17 @@ def smoothed(series: DataFrame, by: str, place: str, value: str, sigma: float) -
     return series.join(summed, [by, place])
 
 
+def moving_average(df: DataFrame, by: str, order: str, value: str, decay: float) -> DataFrame:
+    """(by, ema): the fold s = decay * s + (1 - decay) * x over each group's rows in order, from the first row's value.
+
+    Written out as a weighted sum, which needs each row's place only: no group is gathered in one task.
+    """
+    rows = group_rank(df.select(by, order, F.col(value).cast("double").alias("_v")), by, order, name="_p", size="_s")
+    left = F.pow(F.lit(decay), F.col("_s") - 1 - F.col("_p"))
+    weight = F.when(F.col("_p") == 0, left).otherwise(left * (1 - decay))
+    return rows.groupBy(by).agg(F.sum(F.col("_v") * weight).alias("ema"))
+
+
 def resampled_nearest(volume: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int]) -> DataFrame:
     """Each target cell takes the source cell under its corner, floor(i * source / target)."""
     rows = volume

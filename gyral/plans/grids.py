@@ -9,7 +9,7 @@ from gyral.functions.vectors import block_means, doubles
 from gyral.operators import grids as G
 from gyral.plans.masks import SHAPE, VOX, volumes
 from gyral.plans.registry import query, table
-from gyral.plans.ranks import global_rank
+from gyral.plans.ranks import global_rank, group_rank
 
 
 @query("WITH v AS (SELECT l_suppkey AS vol, CASE WHEN l_linenumber > 3 THEN 0 ELSE l_extendedprice END AS v FROM lineitem), q AS (SELECT vol, quantile_cont(v, 0.995) FILTER (v > 0) AS a, quantile_cont(v, 0.995) AS b FROM v GROUP BY 1) SELECT vol, round(CASE WHEN a > 1e-6 THEN a ELSE 1 END, 6) AS nonzero, round(CASE WHEN b > 1e-6 THEN b ELSE 1 END, 6) AS every FROM q")
@@ -34,10 +34,7 @@ k(o, w) AS (VALUES {_KERNEL}), h AS (SELECT s.user_id, s.i, w, (s.i + o) % (2 *
 r AS (SELECT user_id, i, w, CASE WHEN (j + 2 * n) % (2 * n) < n THEN (j + 2 * n) % (2 * n) ELSE 2 * n - 1 - (j + 2 * n) % (2 * n) END AS j FROM h)
 SELECT r.user_id, r.i, round(sum(w * v), 6) AS smooth FROM r JOIN s ON s.user_id = r.user_id AND s.i = r.j GROUP BY 1, 2""")
 def c6_gaussian_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    series = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).cast("bigint").alias("i"), "value")
+    series = group_rank(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id", name="i").select("user_id", "i", "value")
     return G.smoothed(series, "user_id", "i", "value", 1.5).select("user_id", "i", F.round("smooth", 6).alias("smooth"))
 
 

@@ -24,3 +24,10 @@ def global_rank(df: DataFrame, *order: str | Column, name: str = "rank", total:
     if total:
         rows = rows.withColumn(total, F.col("_total"))
     return rows.drop("_part", "_n", "_before", "_total", "_rows")
+
+
+def group_rank(df: DataFrame, by: str, *order: str | Column, name: str = "place", size: str = "size") -> DataFrame:
+    """df with the row's place in its group, from 0, and the group's size; a group may span many partitions."""
+    ranked = cut(global_rank(df, by, *order, name="_place"), "ranked")
+    groups = ranked.groupBy(by).agg(F.min("_place").alias("_first"), F.count("*").alias(size))
+    return ranked.join(groups, by).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyral.functions.vectors import cosine, dot, doubles, ema, fingerprint, l2_unit, mae, mean, mse, z_score
+from gyral.functions.vectors import cosine, dot, doubles, fingerprint, l2_unit, mae, mean, mse, z_score
+from gyral.operators.grids import moving_average
 from gyral.operators.retrieval import merge, paste, rerank, shortlist, similar_to_any
 from gyral.plans.registry import query, table
 from gyral.session import cut
@@ -114,8 +115,8 @@ def c3_similarity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_E}, f AS (SELECT label, id, vec[1] AS v, row_number() OVER (PARTITION BY label ORDER BY id) AS n, count(*) OVER (PARTITION BY label) AS c FROM e) SELECT label, round(sum(CASE WHEN n = 1 THEN v * 0.9 ** (c - 1) ELSE 0.1 * v * 0.9 ** (c - n) END), 6) AS ema FROM f GROUP BY 1")
 def c6_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = F.transform(F.array_sort(F.collect_list(F.struct("id", F.element_at("vec", 1).cast("double").alias("v")))), lambda s: s["v"])
-    return donors(spark, sf_dir).groupBy("label").agg(F.round(ema(values, 0.9), 6).alias("ema"))
+    first = donors(spark, sf_dir).select("label", "id", F.element_at("vec", 1).alias("v"))
+    return moving_average(first, "label", "id", "v", 0.9).select("label", F.round("ema", 6).alias("ema"))
 
 
 @query(f"WITH {_E} SELECT label, u.i - 1 AS dim, round(avg(CASE WHEN f = 0 THEN vec[u.i] ELSE vec[65 - u.i] END), 6) AS v FROM e, (SELECT unnest(range(1, 65)) AS i) u, (SELECT unnest([0, 1]) AS f) GROUP BY 1, 2")

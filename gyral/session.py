@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +50,32 @@ def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _forget_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes what cut() wrote, once no plan reads it any more."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut" in path or "-" in path:
-            p = hadoop.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _forget_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes the folder when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in the shared one that lasts as long as the application."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _forget_at_exit(spark, path)
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application, so that none needs it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_gyral_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="gyral-")) / "gyral_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._gyral_shipped = True

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gyral.functions.vectors import block_means, ema, fingerprint, z_score
+from gyral.functions.vectors import block_means, fingerprint, z_score
 from gyral.operators import batches as B
 from gyral.operators import grids as G
 from gyral.operators import sampling as S
@@ -200,7 +200,8 @@ def test_fingerprints(spark):
     assert [r.best for r in similar_to_any(f.filter("id = 1"), f.filter("false"), "f").collect()] == [None]
     one = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 9.0],)], "v array<double>")
     assert one.select(block_means(F.col("v"), 2)).first()[0] == [1.5, 3.5]
-    assert one.select(ema(F.col("v"), 0.5)).first()[0] == pytest.approx(6.0625)
+    steps = one.select(F.lit("g").alias("g"), F.posexplode("v").alias("i", "x"))
+    assert G.moving_average(steps, "g", "i", "x", 0.5).first()["ema"] == pytest.approx(6.0625)
     x = np.array([1, 2, 3, 4, 9.0])
     assert one.select(z_score(F.col("v"))).first()[0] == pytest.approx(((x - x.mean()) / (x.std() + 1e-6)).tolist())
 
