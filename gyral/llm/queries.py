@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gyral.functions.ids import case_key, cohort_of, file_key, subject_key
 from gyral.llm import history, language, overlap, packing, similar, splits, tokens
-from gyral.session import cut, shared_dir
+from gyral.session import cut, scratch_dir
 
 
 def _donors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     rows = _donors(spark, sf_dir).select(F.col("batch_no").cast("bigint").alias("batch"), F.col("donor_id").alias("id"), file_key(F.col("paths")).alias("file"), "emb")
-    state = history.DedupHistory(spark, f"{shared_dir(spark)}/p2-history-{uuid.uuid4().hex}")
+    state = history.DedupHistory(spark, scratch_dir(spark, "p2-history"))
     return state.process(rows).select(F.col("id").alias("donor_id"))
 
 

@@ -39,9 +39,10 @@ def fit_lists(sample: np.ndarray, lists: int, mean: np.ndarray, rounds: int = 3)
 
 def _nearest(rest: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
     out = np.empty((len(rest), probes), np.int32)
-    for i in range(0, len(rest), 1024):
-        score = rest[i : i + 1024] @ centroids.T
-        out[i : i + 1024] = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < score.shape[1] else np.arange(score.shape[1])[None, :probes]
+    step = max(64, min(1024, 4_000_000 // max(1, len(centroids))))
+    for i in range(0, len(rest), step):
+        score = rest[i : i + step] @ centroids.T
+        out[i : i + step] = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < score.shape[1] else np.arange(score.shape[1])[None, :probes]
     return out
 
 

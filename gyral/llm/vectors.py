@@ -75,7 +75,7 @@ def fit_sample(prepared: DataFrame, key: str, rows: int, total: int, dim: int =
     """Unit vectors of about `rows` (at most FIT_ROWS) rows, chosen by a hash of the key."""
     rows = min(rows, FIT_ROWS)
     part = prepared if total <= rows else prepared.filter(F.pmod(F.xxhash64(F.lit(SEED), key), F.lit(1_000_000)) < int(1_000_000 * rows / total) + 1)
-    got = [bytes(r[0]) for r in part.select("v").limit(FIT_ROWS).toLocalIterator(prefetchPartitions=True)] if total else []
+    got = [bytes(r[0]) for r in part.select("v").limit(FIT_ROWS).collect()] if total else []
     return unit(decode(got, dim)) if got else np.zeros((0, dim), np.float32)
 
 
