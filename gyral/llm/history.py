@@ -13,10 +13,10 @@ from gyral.llm.signs import sign_bits
 from gyral.llm.vectors import DIM, centre, fit_sample, prepare, verified
 from gyral.session import cut
 
-#: Sign strings a vector is written as; shortest and longest chunk in bits; bits the rolling hash sees.
-STRINGS, MIN_BITS, MAX_BITS, WINDOW = 5, 15, 32, 4
-#: Shared bits, of STRINGS * dim, from which a pair goes to the exact check.
-COVERAGE = 0.042
+#: Sign strings a vector is written as, bits the rolling hash sees, and bits a chunk may be longer than the shortest.
+STRINGS, WINDOW, MORE_BITS = 6, 4, 16
+#: Shared bits from which a pair goes to the exact check, in shortest chunks.
+COVERAGE = 2
 #: Buckets of up to SMALL rows are compared whole. In larger ones all rows are held to the first HEADS undecided rows;
 #: a further wave, of what is then still undecided, takes four times as many.
 SMALL, HEADS = 64, 4
@@ -25,11 +25,16 @@ FIT = 16_384
 BROADCAST_KEYS = 2_000_000
 
 
-def chunks(bits: np.ndarray, least: int = MIN_BITS, most: int = MAX_BITS, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+def shortest_chunk(rows: int) -> int:
+    """Bits of the shortest chunk for a history of so many rows: a chunk then meets about as many strangers at every size."""
+    return max(8, int(np.ceil(np.log2(max(2, rows)))) - 1)
+
+
+def chunks(bits: np.ndarray, least: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     """Content-defined chunks of each row's bit strings, as (row, hash, bits).
 
     A chunk ends where the rolling hash of the last `window` bits is 0 modulo 4, at `least` bits at the earliest and
-    `most` at the latest. Its hash takes in string, offset, length and content. A string's tail counts as a chunk
+    MORE_BITS later at the latest. Its hash takes in string, offset, length and content. A string's tail counts as a chunk
     if it has `least` bits.
     """
     rows, strings, dim = bits.shape
@@ -42,7 +47,7 @@ def chunks(bits: np.ndarray, least: int = MIN_BITS, most: int = MAX_BITS, window
         acc = (acc << np.uint64(1)) | flat[:, i]
         roll = ((roll << np.uint64(1)) | flat[:, i]) & np.uint64((1 << window) - 1)
         size = i + 1 - start
-        ends = ((size >= least) & ((roll * np.uint64(11) + np.uint64(3)) % np.uint64(4) == 0)) | (size >= most) | ((i == dim - 1) & (size >= least))
+        ends = ((size >= least) & ((roll * np.uint64(11) + np.uint64(3)) % np.uint64(4) == 0)) | (size >= least + MORE_BITS) | ((i == dim - 1) & (size >= least))
         at = np.flatnonzero(ends)
         if len(at):
             who.append(at // strings)
@@ -62,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_table(prepared: DataFrame, mean: np.ndarray, dim: int = DIM) -> DataFrame:
+def chunk_table(prepared: DataFrame, mean: np.ndarray, least: int, dim: int = DIM) -> DataFrame:
     """(batch, id, key, bits): one row per chunk of each vector."""
     shared = prepared.sparkSession.sparkContext.broadcast(mean)
 
@@ -70,7 +75,7 @@ def chunk_table(prepared: DataFrame, mean: np.ndarray, dim: int = DIM) -> DataFr
         for batch in batches:
             if not batch.num_rows:
                 continue
-            who, key, size = chunks(sign_bits(batch.column(2).to_pylist(), shared.value, STRINGS, dim))
+            who, key, size = chunks(sign_bits(batch.column(2).to_pylist(), shared.value, STRINGS, dim), least)
             at = pa.array(who)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(size)], ["batch", "id", "key", "bits"])
 
@@ -84,8 +89,9 @@ class DedupHistory:
     are joined whose key the new batch has, and old rows are never chunked or compared among themselves again.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, dim: int = DIM) -> None:
-        self.spark, self.folder, self.dim = spark, folder.rstrip("/"), dim
+    def __init__(self, spark: SparkSession, folder: str, dim: int = DIM, capacity: int | None = None) -> None:
+        """capacity: rows the history is meant to reach, which sets the chunks' length; by default the first batch's rows."""
+        self.spark, self.folder, self.dim, self.capacity = spark, folder.rstrip("/"), dim, capacity
 
     def _read(self, name: str) -> DataFrame | None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
@@ -105,22 +111,24 @@ class DedupHistory:
         old = self._read("rows")
         template = self._read("template")
         if template is None:
-            sample = fit_sample(rows, "id", FIT, rows.count(), self.dim)
-            mean = centre(sample, self.dim).astype(np.float64)
+            total = rows.count()
+            mean = centre(fit_sample(rows, "id", FIT, total, self.dim), self.dim).astype(np.float64)
+            shortest = shortest_chunk(self.capacity or total)
             if keep:
-                spark.createDataFrame([(mean.tolist(),)], "mean array<double>").write.parquet(f"{self.folder}/template")
+                spark.createDataFrame([(mean.tolist(), shortest)], "mean array<double>, shortest int").write.parquet(f"{self.folder}/template")
         else:
-            mean = np.array(template.first()[0])
-        sliced = cut(chunk_table(rows, mean, self.dim), "p2-chunks")
+            mean, shortest = template.first()
+            mean = np.array(mean)
+        sliced = cut(chunk_table(rows, mean, shortest, self.dim), "p2-chunks")
         links = rows.select("batch", "id", F.xxhash64(F.lit("code"), "code").alias("key")).unionByName(
             rows.filter(F.col("file").isNotNull()).select("batch", "id", F.xxhash64(F.lit("file"), "file").alias("key"))
         )
         buckets = sliced.unionByName(links.withColumn("bits", F.lit(0)))
         rejected, undecided = None, rows
         if old is not None:
-            rejected = cut(self._against(rows, buckets, old, least), "p2-old")
+            rejected = cut(self._against(rows, buckets, old, least, shortest), "p2-old")
             buckets, undecided = buckets.join(rejected, "id", "left_anti"), rows.join(rejected, "id", "left_anti")
-        inside = self._within(undecided, buckets, least)
+        inside = self._within(undecided, buckets, least, shortest)
         rejected = inside if rejected is None else rejected.unionByName(inside)
         rejected = cut(rejected, "p2-rejected")
         if keep:
@@ -128,7 +136,7 @@ class DedupHistory:
             sliced.join(rejected, "id", "left_anti").write.mode("append").parquet(f"{self.folder}/chunks")
         return rows.join(rejected, "id", "left_semi").select(F.when(F.col("batch") > -(2**62), F.col("batch")).alias("batch"), "id")
 
-    def _against(self, rows: DataFrame, buckets: DataFrame, old: DataFrame, least: float) -> DataFrame:
+    def _against(self, rows: DataFrame, buckets: DataFrame, old: DataFrame, least: float, shortest: int) -> DataFrame:
         """Ids of new rows that repeat an accepted row; links by file and code need no check."""
         sure = [
             rows.filter(F.col("file").isNotNull()).join(old.select("file").filter(F.col("file").isNotNull()).distinct(), "file", "left_semi").select("id"),
@@ -139,11 +147,11 @@ class DedupHistory:
         keys = cut(left.select("key").distinct(), "p2-keys")
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
         met = self._read("chunks").join(keys, "key", "left_semi").select("key", F.col("id").alias("lo"))
-        pairs = left.select("key", "bits", F.col("id").alias("hi")).join(met, "key").groupBy("lo", "hi").agg(F.sum("bits").alias("shared")).filter(F.col("shared") >= COVERAGE * STRINGS * self.dim).select("lo", "hi")
+        pairs = left.select("key", "bits", F.col("id").alias("hi")).join(met, "key").groupBy("lo", "hi").agg(F.sum("bits").alias("shared")).filter(F.col("shared") >= COVERAGE * shortest).select("lo", "hi")
         near = verified(pairs, old.select("id", "v").unionByName(rows.select("id", "v")), "id", least, self.dim)
         return known.union(near.select(F.col("hi").alias("id"))).distinct()
 
-    def _within(self, rows: DataFrame, buckets: DataFrame, least: float) -> DataFrame:
+    def _within(self, rows: DataFrame, buckets: DataFrame, least: float, shortest: int) -> DataFrame:
         """Ids of new rows that repeat an accepted new row.
 
         In waves: the rows of a large bucket are held to its first undecided rows only, so work stays linear in the
@@ -164,7 +172,7 @@ class DedupHistory:
                 .filter(F.col("head") < F.struct("batch", F.col("hi").alias("id")))
                 .groupBy("hi", F.col("head.id").alias("lo"))
                 .agg(F.sum("bits").alias("shared"), F.min("bits").alias("least"))
-                .filter((F.col("least") == 0) | (F.col("shared") >= COVERAGE * STRINGS * self.dim))
+                .filter((F.col("least") == 0) | (F.col("shared") >= COVERAGE * shortest))
             )
             pairs = cut(pairs.select("lo", "hi", (F.col("least") == 0).alias("sure")), "p2-pairs")
             edges = verified(pairs.filter(~F.col("sure")).select("lo", "hi"), rows.select("id", "v"), "id", least, self.dim)

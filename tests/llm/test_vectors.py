@@ -180,14 +180,15 @@ def test_empty_history(spark):
 def test_chunks_follow_content():
     rng = np.random.default_rng(0)
     bits = rng.integers(0, 2, (50, 2, 144)).astype(np.uint8)
-    who, key, size = history.chunks(bits)
+    least = history.shortest_chunk(40_000)
+    who, key, size = history.chunks(bits, least)
     covered = np.bincount(who, weights=size, minlength=50)
-    assert (covered <= 288).all() and (covered >= 288 - 2 * history.MIN_BITS).all() and size.min() >= history.MIN_BITS and size.max() <= history.MAX_BITS
+    assert (covered <= 288).all() and (covered >= 288 - 2 * least).all() and size.min() >= least == 15 and size.max() <= least + history.MORE_BITS
     other = bits.copy()
     other[:, 0, 0] ^= 1
-    _, key2, _ = history.chunks(other)
+    _, key2, _ = history.chunks(other, least)
     assert len(set(key) & set(key2)) > 0.7 * len(set(key))
-    assert len(history.chunks(np.zeros((0, 2, 144), np.uint8))[0]) == 0
+    assert len(history.chunks(np.zeros((0, 2, 144), np.uint8), least)[0]) == 0
 
 
 MANIFEST = "id bigint, split_name string, `case` string"
