@@ -2,27 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyral.llm.signs import sign_bits
-from gyral.llm.vectors import DIM, centre, fit_sample, prepare, verified
+from gyral.llm.vectors import DIM, SEED, centre, fit_sample, prepare, verified
 from gyral.session import cut
 
-#: Sign strings a vector is written as, bits the rolling hash sees, and bits a chunk may be longer than the shortest.
-STRINGS, WINDOW, MORE_BITS = 6, 4, 16
-#: Shared bits from which a pair goes to the exact check, in shortest chunks.
-COVERAGE = 2
+#: Bits the rolling hash sees, and bits a chunk may be longer than the shortest.
+WINDOW, MORE_BITS = 4, 16
+#: Share of the pairs at exactly the least cosine that may share no chunk, at any size of the history; sign strings at most,
+#: beyond which chunks get shorter instead; simulated strings from which both follow.
+MISS, MOST_STRINGS, SIMULATED = 0.001, 64, 8192
+#: Bits of the sketch that a pair sharing a chunk is held to, and the share of pairs at the least cosine it may lose.
+SKETCH, SKETCH_MISS = 64, 1e-6
+#: Share of the fitted rows that may lie nearer to the template than the strings are made for, and the least such distance.
+NEAREST, LEAST_REST = 0.001, 0.5
 #: Buckets of up to SMALL rows are compared whole. In larger ones all rows are held to the first HEADS undecided rows;
 #: a further wave, of what is then still undecided, takes four times as many.
 SMALL, HEADS = 64, 4
 FIT = 16_384
 #: Up to so many distinct chunk keys of a batch are broadcast, so that the history is read but not shuffled.
 BROADCAST_KEYS = 2_000_000
+#: Up to so many heads of large buckets are broadcast, so that the buckets are read but not shuffled once more.
+BROADCAST_HEADS = 500_000
+#: Strings chunked at once.
+BLOCK = 16_384
 
 
 def shortest_chunk(rows: int) -> int:
@@ -60,6 +70,37 @@ def chunks(bits: np.ndarray, least: int, window: int = WINDOW) -> tuple[np.ndarr
     return np.concatenate(who), np.concatenate(hashes).view(np.int64), np.concatenate(sizes).astype(np.int32)
 
 
+def flip_rate(rest: float, least: float) -> float:
+    """Share of sign bits in which two vectors of cosine `least` differ that both lie `rest` away from the template."""
+    return float(np.arccos(np.clip(1 - (1 - least) / rest**2, -1, 1)) / np.pi)
+
+
+def missed(shortest: int, flip: float, dim: int) -> float:
+    """Share of the pairs with that flip rate that have no common chunk in one string, counted on simulated strings."""
+    rng = np.random.default_rng(SEED)
+    a = rng.integers(0, 2, (SIMULATED, 1, dim), dtype=np.uint8)
+    sides = [chunks(x, shortest)[:2] for x in (a, a ^ (rng.random(a.shape) < flip))]
+    common = set(zip(*map(np.ndarray.tolist, sides[0]))) & set(zip(*map(np.ndarray.tolist, sides[1])))
+    return 1 - len({who for who, _ in common}) / SIMULATED
+
+
+def layout(rows: int, flip: float, dim: int) -> tuple[int, int]:
+    """(bits of the shortest chunk, strings) for a history of so many rows: all but MISS of the pairs share a chunk at every size."""
+    shortest = min(shortest_chunk(rows), dim // 2)
+    while True:
+        alone = missed(shortest, flip, dim)
+        strings = 1 if alone <= MISS else int(np.ceil(np.log(MISS) / np.log(alone))) if alone < 1 else MOST_STRINGS + 1
+        if strings <= MOST_STRINGS or shortest == 1:
+            return shortest, min(strings, MOST_STRINGS)
+        shortest -= 1
+
+
+def sketch_limit(flip: float) -> int:
+    """Differing bits up to which a sketch is kept: beyond are SKETCH_MISS of the pairs with that flip rate at most."""
+    each = [math.comb(SKETCH, k) * flip**k * (1 - flip) ** (SKETCH - k) for k in range(SKETCH + 1)]
+    return next(k for k in range(SKETCH + 1) if sum(each[k + 1 :]) <= SKETCH_MISS)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: a bijection of 64-bit numbers (fixed values)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -67,30 +108,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_table(prepared: DataFrame, mean: np.ndarray, least: int, dim: int = DIM) -> DataFrame:
-    """(batch, id, key, bits): one row per chunk of each vector."""
+def chunk_table(prepared: DataFrame, mean: np.ndarray, shortest: int, strings: int, dim: int = DIM) -> DataFrame:
+    """(batch, id, sketch, keys): each vector's chunks; the sketch is cut from strings of its own."""
     shared = prepared.sparkSession.sparkContext.broadcast(mean)
+    more = -(-SKETCH // dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            who, key, size = chunks(sign_bits(batch.column(2).to_pylist(), shared.value, STRINGS, dim), least)
-            at = pa.array(who)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(key), pa.array(size)], ["batch", "id", "key", "bits"])
+        for whole in batches:
+            size = max(1, BLOCK // strings)
+            for batch in (whole.slice(at, size) for at in range(0, whole.num_rows, size)):
+                bits = sign_bits(batch.column(2).to_pylist(), shared.value, strings + more, dim)
+                who, key, _ = chunks(bits[:, :strings], shortest)
+                sketch = np.packbits(bits[:, strings:].reshape(len(bits), -1)[:, :SKETCH], axis=1).view(np.int64)[:, 0]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(bits)))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[np.argsort(who, kind="stable")]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch), keys], ["batch", "id", "sketch", "keys"])
+
+    return prepared.select("batch", "id", "v").mapInArrow(run, "batch bigint, id bigint, sketch bigint, keys array<bigint>")
+
+
+def _apart(sliced: DataFrame) -> DataFrame:
+    """(batch, id, key, sketch): one row per chunk."""
+    return sliced.select("batch", "id", F.explode("keys").alias("key"), "sketch")
+
 
-    return prepared.select("batch", "id", "v").mapInArrow(run, "batch bigint, id bigint, key bigint, bits int")
+def _differ(lo: str, hi: str) -> Column:
+    """Bits in which two sketches differ; 0 for links, which have none."""
+    return F.coalesce(F.bit_count(F.col(lo).bitwiseXOR(F.col(hi))), F.lit(0))
 
 
 class DedupHistory:
-    """Accepted rows in a folder: `rows` (batch, id, file, code, v) and `chunks` (batch, id, key, bits), both append-only.
+    """Accepted rows in a folder: `rows` (batch, id, file, code, v) and `chunks` (batch, id, sketch, keys), both append-only.
 
     process() checks a new batch against them and appends what it accepts; of the history only those chunk rows
     are joined whose key the new batch has, and old rows are never chunked or compared among themselves again.
     """
 
     def __init__(self, spark: SparkSession, folder: str, dim: int = DIM, capacity: int | None = None) -> None:
-        """capacity: rows the history is meant to reach, which sets the chunks' length; by default the first batch's rows."""
+        """capacity: rows the history is meant to reach, which sets the chunks' length and number but not the recall; by default the first batch's rows."""
         self.spark, self.folder, self.dim, self.capacity = spark, folder.rstrip("/"), dim, capacity
 
     def _read(self, name: str) -> DataFrame | None:
@@ -104,7 +159,9 @@ class DedupHistory:
         Rows are judged in the order of (batch, id), so one call may hold many batches. A row is rejected if it has
         cosine `least` or more to an accepted row, or the file of one. A null file is no file; rows without a valid
         vector take no part; a null batch comes first; rows with the same (batch, id) count once; an empty batch
-        rejects nothing. Each row must be new to the history.
+        rejects nothing. Each row must be new to the history. Of the pairs at exactly `least` all but MISS are found (more
+        of nearer ones), whatever the history's size; the strings are made for the first batch's `least`, so a lower one
+        later is an error.
         """
         spark = self.spark
         rows = cut(prepare(batch.select(F.coalesce("batch", F.lit(-(2**62))).alias("batch"), "id", "file", "emb"), "emb", self.dim).dropDuplicates(["id"]), "p2-rows")
@@ -112,23 +169,30 @@ class DedupHistory:
         template = self._read("template")
         if template is None:
             total = rows.count()
-            mean = centre(fit_sample(rows, "id", FIT, total, self.dim), self.dim).astype(np.float64)
-            shortest = shortest_chunk(self.capacity or total)
+            sample = fit_sample(rows, "id", FIT, total, self.dim)
+            mean = centre(sample, self.dim).astype(np.float64)
+            rest = float(np.quantile(np.linalg.norm(sample - mean, axis=1), NEAREST)) if total else 1.0
+            if rest < LEAST_REST:  # signs of rows about as near to the template as to each other say nothing
+                mean, rest = np.zeros(self.dim), 1.0
+            flip = flip_rate(rest, least)
+            (shortest, strings), limit, made_for = layout(self.capacity or total, flip, self.dim), sketch_limit(flip), least
             if keep:
-                spark.createDataFrame([(mean.tolist(), shortest)], "mean array<double>, shortest int").write.parquet(f"{self.folder}/template")
+                spark.createDataFrame([(mean.tolist(), shortest, strings, limit, least)], "mean array<double>, shortest int, strings int, limit int, least double").write.parquet(f"{self.folder}/template")
         else:
-            mean, shortest = template.first()
+            mean, shortest, strings, limit, made_for = template.first()
             mean = np.array(mean)
-        sliced = cut(chunk_table(rows, mean, shortest, self.dim), "p2-chunks")
+        if least < made_for:
+            raise ValueError(f"the history is made for cosines of {made_for} and more, not {least}")
+        sliced = cut(chunk_table(rows, mean, shortest, strings, self.dim), "p2-chunks")
         links = rows.select("batch", "id", F.xxhash64(F.lit("code"), "code").alias("key")).unionByName(
             rows.filter(F.col("file").isNotNull()).select("batch", "id", F.xxhash64(F.lit("file"), "file").alias("key"))
         )
-        buckets = sliced.unionByName(links.withColumn("bits", F.lit(0)))
+        buckets = _apart(sliced).unionByName(links.withColumn("sketch", F.lit(None).cast("bigint")))
         rejected, undecided = None, rows
         if old is not None:
-            rejected = cut(self._against(rows, buckets, old, least, shortest), "p2-old")
+            rejected = cut(self._against(rows, buckets, old, least, limit), "p2-old")
             buckets, undecided = buckets.join(rejected, "id", "left_anti"), rows.join(rejected, "id", "left_anti")
-        inside = self._within(undecided, buckets, least, shortest)
+        inside = self._within(undecided, buckets, least, limit)
         rejected = inside if rejected is None else rejected.unionByName(inside)
         rejected = cut(rejected, "p2-rejected")
         if keep:
@@ -136,22 +200,22 @@ class DedupHistory:
             sliced.join(rejected, "id", "left_anti").write.mode("append").parquet(f"{self.folder}/chunks")
         return rows.join(rejected, "id", "left_semi").select(F.when(F.col("batch") > -(2**62), F.col("batch")).alias("batch"), "id")
 
-    def _against(self, rows: DataFrame, buckets: DataFrame, old: DataFrame, least: float, shortest: int) -> DataFrame:
+    def _against(self, rows: DataFrame, buckets: DataFrame, old: DataFrame, least: float, limit: int) -> DataFrame:
         """Ids of new rows that repeat an accepted row; links by file and code need no check."""
         sure = [
             rows.filter(F.col("file").isNotNull()).join(old.select("file").filter(F.col("file").isNotNull()).distinct(), "file", "left_semi").select("id"),
             rows.join(old.select("code").distinct(), "code", "left_semi").select("id"),
         ]
         known = sure[0].union(sure[1]).distinct()
-        left = buckets.filter(F.col("bits") > 0).join(known, "id", "left_anti")
+        left = buckets.filter(F.col("sketch").isNotNull()).join(known, "id", "left_anti")
         keys = cut(left.select("key").distinct(), "p2-keys")
         keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-        met = self._read("chunks").join(keys, "key", "left_semi").select("key", F.col("id").alias("lo"))
-        pairs = left.select("key", "bits", F.col("id").alias("hi")).join(met, "key").groupBy("lo", "hi").agg(F.sum("bits").alias("shared")).filter(F.col("shared") >= COVERAGE * shortest).select("lo", "hi")
+        met = _apart(self._read("chunks")).join(keys, "key", "left_semi").select("key", F.col("id").alias("lo"), F.col("sketch").alias("other"))
+        pairs = left.select("key", "sketch", F.col("id").alias("hi")).join(met, "key").filter(_differ("sketch", "other") <= limit).select("lo", "hi").distinct()
         near = verified(pairs, old.select("id", "v").unionByName(rows.select("id", "v")), "id", least, self.dim)
         return known.union(near.select(F.col("hi").alias("id"))).distinct()
 
-    def _within(self, rows: DataFrame, buckets: DataFrame, least: float, shortest: int) -> DataFrame:
+    def _within(self, rows: DataFrame, buckets: DataFrame, least: float, limit: int) -> DataFrame:
         """Ids of new rows that repeat an accepted new row.
 
         In waves: the rows of a large bucket are held to its first undecided rows only, so work stays linear in the
@@ -161,23 +225,27 @@ class DedupHistory:
         heads, rejected = HEADS, None
         while True:
             most = max(SMALL, heads)
-            order = F.struct("batch", "id")
+            row = F.struct("batch", "id", "sketch")
             ranked = buckets.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("batch", "id")))
-            first = ranked.filter(F.col("n") <= most + 1).groupBy("key").agg(F.array_sort(F.collect_list(order)).alias("heads")).filter(F.size("heads") > 1)
-            large = F.size("heads") > most
-            first = cut(first.select("key", large.alias("large"), F.when(large, F.slice("heads", 1, heads)).otherwise(F.col("heads")).alias("heads")), "p2-heads")
+            first = ranked.filter(F.col("n") <= most + 1).groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("heads")).filter(F.size("heads") > 1)
+            first = cut(first.select("key", "heads", (F.size("heads") > most).alias("large")), "p2-heads")
+            large = first.filter("large").select("key", F.slice("heads", 1, heads).alias("heads"))
+            large = F.broadcast(large) if large.count() * heads <= BROADCAST_HEADS else large
+            met = buckets.join(large, "key")
+            # small buckets are whole in `heads`
+            small = first.filter(~F.col("large")).select("heads", F.explode("heads").alias("row"))
             pairs = (
-                buckets.join(first, "key")
-                .select("key", "bits", "batch", F.col("id").alias("hi"), F.explode("heads").alias("head"))
-                .filter(F.col("head") < F.struct("batch", F.col("hi").alias("id")))
-                .groupBy("hi", F.col("head.id").alias("lo"))
-                .agg(F.sum("bits").alias("shared"), F.min("bits").alias("least"))
-                .filter((F.col("least") == 0) | (F.col("shared") >= COVERAGE * shortest))
+                small.unionByName(met.select("heads", row.alias("row")))
+                .select("row", F.explode("heads").alias("head"))
+                .filter((F.struct("head.batch", "head.id") < F.struct("row.batch", "row.id")) & (_differ("head.sketch", "row.sketch") <= limit))
+                .groupBy(F.col("row.id").alias("hi"), F.col("head.id").alias("lo"))
+                .agg(F.bool_or(F.col("row.sketch").isNull()).alias("sure"))
             )
-            pairs = cut(pairs.select("lo", "hi", (F.col("least") == 0).alias("sure")), "p2-pairs")
+            pairs = cut(pairs.select("lo", "hi", "sure"), "p2-pairs")
             edges = verified(pairs.filter(~F.col("sure")).select("lo", "hi"), rows.select("id", "v"), "id", least, self.dim)
             edges = cut(edges.union(pairs.filter("sure").select("lo", "hi")).distinct(), "p2-edges")
-            late = buckets.join(first.filter("large"), "key").filter(F.struct("batch", "id") > F.element_at("heads", -1)).select("id").distinct()
+            last = F.element_at("heads", -1)
+            late = met.filter(F.struct("batch", "id") > F.struct(last["batch"], last["id"])).select("id").distinct()
             late = cut(late, "p2-late")
             now, open_ = resolve(edges, late)
             rejected = now if rejected is None else rejected.union(now)
