@@ -97,7 +97,7 @@ def _lloyd(rounds: int) -> str:
 
 @query(_lloyd(6))
 def c6_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    centres = G.kmeans_1d(table(spark, sf_dir, "events"), "value", 3, 6)
+    centres = G.kmeans_1d(table(spark, sf_dir, "events"), "value")
     return spark.createDataFrame([(i + 1, round(c, 4)) for i, c in enumerate(centres)], "class bigint, centre double")
 
 
