@@ -70,16 +70,32 @@ def dilated(mask: DataFrame, rounds: int, shape: tuple[int, int, int]) -> DataFr
     return shifted(mask, offsets(rounds)).filter(within(shape)).select("vol", *XYZ).distinct()
 
 
-def distance_map(cells: DataFrame, mask: DataFrame, radius: int) -> DataFrame:
-    """cells with dm, the euclidean distance to the nearest cell of the volume's mask; null beyond `radius`.
+def distance_map(cells: DataFrame, mask: DataFrame, radius: int | None = None) -> DataFrame:
+    """cells with dm, the euclidean distance to the nearest cell of the volume's mask; null where the mask is empty.
 
-    An equi-join on the shifted coordinates, so a cell meets only what lies within the radius.
+    With a radius, null beyond it: an equi-join on the shifted coordinates, so a cell meets only what lies within.
+    Without, the exact transform axis by axis: each line of cells takes the least of what the lines before it hold, so the
+    work is a line's length for each cell, whatever the distances.
     """
+    if radius is None:
+        return _full_distance_map(cells, mask)
     near = shifted(mask.select("vol", *XYZ).distinct(), offsets(radius, "euclid"))
     reach = near.groupBy("vol", *XYZ).agg(F.min(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")).alias("d2"))
     return cells.join(reach, ["vol", *XYZ], "left").withColumn("dm", F.sqrt("d2")).drop("d2")
 
 
+def _full_distance_map(cells: DataFrame, mask: DataFrame) -> DataFrame:
+    span = lambda c: F.sequence(F.col(f"{c}0"), F.col(f"{c}1"))
+    box = cells.groupBy("vol").agg(*(f(c).alias(f"{c}{e}") for c in "yz" for f, e in ((F.min, 0), (F.max, 1))))
+    least = lambda line, at: F.array_min(F.transform(line, lambda p: p["d2"] + (p["at"] - F.col(at)) * (p["at"] - F.col(at))))
+    line = lambda at, d2: F.collect_list(F.struct(F.col(at).cast("long").alias("at"), d2.cast("long").alias("d2"))).alias("line")
+    marked = mask.select("vol", *XYZ).distinct()
+    along_z = marked.groupBy("vol", "x", "y").agg(line("z", F.lit(0))).join(box, "vol").withColumn("z", F.explode(span("z"))).select("vol", *XYZ, least("line", "z").alias("d2"))
+    along_y = along_z.groupBy("vol", "x", "z").agg(line("y", F.col("d2"))).join(box, "vol").withColumn("y", F.explode(span("y"))).select("vol", *XYZ, least("line", "y").alias("d2"))
+    along_x = along_y.groupBy("vol", "y", "z").agg(line("x", F.col("d2")))
+    return cells.join(along_x, ["vol", "y", "z"], "left").select(*(cells[c] for c in cells.columns), F.sqrt(least("line", "x")).alias("dm"))
+
+
 def min_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     """(vol, d): least euclidean distance between two masks of a volume; 0 where they overlap, no row where one is empty.
 

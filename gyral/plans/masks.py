@@ -80,7 +80,7 @@ _DM = f"""{VOX}, dm AS (SELECT c.vol, c.x, c.y, c.z, min((c.x - m.x) ** 2 + (c.y
 
 @query(f"WITH {_DM} SELECT vol, x, y, z, round(sqrt(d2), 6) AS dm FROM dm")
 def c5_distance_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.distance_map(volumes(spark, sf_dir).drop("v"), tumour(spark, sf_dir), 4).withColumn("dm", F.round("dm", 6))
+    return V.distance_map(volumes(spark, sf_dir).drop("v"), tumour(spark, sf_dir)).withColumn("dm", F.round("dm", 6))
 
 
 @query(f"WITH {VOX} SELECT a.vol, round(min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) AS d FROM m a JOIN (SELECT * FROM vox WHERE v <= 2) b ON a.vol = b.vol GROUP BY 1")

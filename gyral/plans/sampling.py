@@ -127,7 +127,8 @@ def _far(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT DISTINCT vol, CAST(floor({u("'spot'", 'vol', 'd')} * n) AS BIGINT) AS i FROM p, range(2) r(d))
 SELECT vol, x, y, z, dm FROM p JOIN d USING (vol, i) QUALIFY row_number() OVER (PARTITION BY vol ORDER BY dm DESC, x, y, z) = 1""")
 def c5_farthest_point(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.farthest_of(_far(spark, sf_dir), "vol", "dm", 2, "spot", 1.0)
+    dm = cut(V.distance_map(volumes(spark, sf_dir).drop("v"), tumour(spark, sf_dir)).withColumn("dm", F.round("dm", 6)), "dm")
+    return S.farthest_of(dm, "vol", "dm", 2, "spot", 1.0)
 
 
 TRIES = 24
