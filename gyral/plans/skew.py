@@ -29,3 +29,22 @@ def split_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", h
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
     rest = left.filter(~is_hot).join(right.filter(~F.col(key).isin(hot)), key, how)
     return rest.unionByName(left.filter(is_hot).join(F.broadcast(right.filter(F.col(key).isin(hot))), key, how))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int = 64_000, salts: int = 32, sampled: int = 64, most: int = 1_000) -> DataFrame:
+    """Inner join of two tables that may both have many rows of a key.
+
+    Keys with more than about `rows` rows on a side are spread: each left row takes one of `salts` salts, the right rows
+    take all of them, so no task sees a whole hot key. They are looked for among one in `sampled` rows, chosen by a
+    hash of the row, and the `most` largest are spread: that only decides where a row is joined, every row is joined
+    once either way.
+    """
+    some = lambda df, side: df.select(F.col(key).alias("_k"), F.xxhash64(*df.columns).alias("_h")).filter(F.pmod("_h", F.lit(sampled)) == 0).select("_k", F.lit(side).alias("_side"))
+    counts = some(left, 0).unionByName(some(right, 1)).filter(F.col("_k").isNotNull()).groupBy("_k", "_side").count().filter(F.col("count") > rows // sampled).orderBy(F.desc("count")).limit(most)
+    hot = sorted({r[0] for r in counts.select("_k").collect()})
+    if not hot:
+        return left.join(right, key)
+    rest = left.filter(~F.col(key).isin(hot)).join(right.filter(~F.col(key).isin(hot)), key)
+    salted = left.filter(F.col(key).isin(hot)).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
+    copies = right.filter(F.col(key).isin(hot)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    return rest.unionByName(salted.join(copies, [key, "_salt"]).drop("_salt"))

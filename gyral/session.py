@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
+from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,16 +36,25 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session's spark.checkpoint.dir names it.
 
-    Only where the setting is absent, as in local tests, a temporary folder of this machine is used.
+    Where the setting is absent a local session, whose only machine this is, gets a folder of its own that goes with
+    the process; on a cluster that would be a folder the executors don't share, so there it is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = getattr(spark, "_gyral_shared", None)
-        if not at:
-            at = spark._gyral_shared = tempfile.mkdtemp(prefix="gyral-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = _own_folder()
+        spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+@cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="gyral-")
+    atexit.register(shutil.rmtree, folder, True)
+    return folder
+
+
 def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None) -> DataFrame:
     """Writes df once into the shared folder and reads it back: short lineage that outlives lost executors."""
     spark = df.sparkSession
@@ -51,7 +64,18 @@ def cut(df: DataFrame, name: str = "cut", partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     _forget_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._gyral_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that cut() wrote and nothing needs any more; others are left alone."""
+    for df in tables:
+        path = getattr(df, "_gyral_path", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
@@ -73,7 +97,7 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_gyral_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="gyral-")) / "gyral_package.zip"
+    archive = Path(_own_folder()) / "gyral_package.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
