@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyral.llm.signs import sign_bits
+from gyral.llm.signs import kept_letters, letters, residuals, rest_cosine
 from gyral.llm.vectors import DIM, SEED, centre, fit_sample, prepare, verified
-from gyral.session import cut
-
-#: Bits the rolling hash sees, and bits a chunk may be longer than the shortest.
-WINDOW, MORE_BITS = 4, 16
-#: Share of the pairs at exactly the least cosine that may share no chunk, at any size of the history; sign strings at most,
-#: beyond which chunks get shorter instead; simulated strings from which both follow.
-MISS, MOST_STRINGS, SIMULATED = 0.001, 64, 8192
+from gyral.plans.skew import split_join, spread_join
+from gyral.session import cut, discard
+
+#: One letter in BOUNDARY begins a chunk. Share of the pairs at exactly the least cosine that may share no chunk, letters at
+#: most, and simulated pairs from which the number of letters follows.
+BOUNDARY, MISS, MOST_LETTERS, SIMULATED = 3, 0.0025, 1024, 65_536
+#: Rows the history is made for unless said otherwise: chunks get a letter longer beyond, and strings longer with them.
+CAPACITY = 2**26
 #: Bits of the sketch that a pair sharing a chunk is held to, and the share of pairs at the least cosine it may lose.
 SKETCH, SKETCH_MISS = 64, 1e-6
 #: Share of the fitted rows that may lie nearer to the template than the strings are made for, and the least such distance.
@@ -27,76 +30,60 @@ NEAREST, LEAST_REST = 0.001, 0.5
 #: a further wave, of what is then still undecided, takes four times as many.
 SMALL, HEADS = 64, 4
 FIT = 16_384
-#: Up to so many distinct chunk keys of a batch are broadcast, so that the history is read but not shuffled.
+#: Up to so many chunk keys of a batch are broadcast, so that the history is read but not shuffled.
 BROADCAST_KEYS = 2_000_000
 #: Up to so many heads of large buckets are broadcast, so that the buckets are read but not shuffled once more.
 BROADCAST_HEADS = 500_000
-#: Strings chunked at once.
-BLOCK = 16_384
+#: Up to so many candidate pairs are broadcast to fetch their vectors.
+BROADCAST_PAIRS = 500_000
+#: Vectors chunked at once.
+BLOCK = 8_192
 
 
-def shortest_chunk(rows: int) -> int:
-    """Bits of the shortest chunk for a history of so many rows: a chunk then meets about as many strangers at every size."""
-    return max(8, int(np.ceil(np.log2(max(2, rows)))) - 1)
+def shortest_chunk(rows: int, dim: int) -> int:
+    """Letters of a chunk for a history of so many rows: it then meets a few strangers at most."""
+    return max(1, math.ceil((math.log2(max(2, rows)) - 2) / math.log2(2 * dim)))
 
 
-def chunks(bits: np.ndarray, least: int, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Content-defined chunks of each row's bit strings, as (row, hash, bits).
+def chunks(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Content-defined chunks of each row's string of letters, as (row, hash).
 
-    A chunk ends where the rolling hash of the last `window` bits is 0 modulo 4, at `least` bits at the earliest and
-    MORE_BITS later at the latest. Its hash takes in string, offset, length and content. A string's tail counts as a chunk
-    if it has `least` bits.
+    A chunk begins where the rolling hash of the letter read last is 0 modulo BOUNDARY, and takes in `least` letters; chunks
+    may overlap. Its hash takes in the letters and where they stand.
     """
-    rows, strings, dim = bits.shape
-    flat = bits.reshape(rows * strings, dim).astype(np.uint64)
-    start, acc = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.uint64)
-    roll = np.zeros(len(flat), np.uint64)
-    who, hashes, sizes = [], [], []
-    string = np.tile(np.arange(strings, dtype=np.uint64), rows)
-    for i in range(dim):
-        acc = (acc << np.uint64(1)) | flat[:, i]
-        roll = ((roll << np.uint64(1)) | flat[:, i]) & np.uint64((1 << window) - 1)
-        size = i + 1 - start
-        ends = ((size >= least) & ((roll * np.uint64(11) + np.uint64(3)) % np.uint64(4) == 0)) | (size >= least + MORE_BITS) | ((i == dim - 1) & (size >= least))
-        at = np.flatnonzero(ends)
-        if len(at):
-            who.append(at // strings)
-            place = (string[at] << np.uint64(20)) | (start[at].astype(np.uint64) << np.uint64(8)) | size[at].astype(np.uint64)
-            hashes.append(_mix(acc[at] ^ _mix(place + np.uint64(0x9E3779B97F4A7C15))))
-            sizes.append(size[at])
-            start[at], acc[at] = i + 1, 0
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return np.concatenate(who), np.concatenate(hashes).view(np.int64), np.concatenate(sizes).astype(np.int32)
-
-
-def flip_rate(rest: float, least: float) -> float:
-    """Share of sign bits in which two vectors of cosine `least` differ that both lie `rest` away from the template."""
-    return float(np.arccos(np.clip(1 - (1 - least) / rest**2, -1, 1)) / np.pi)
-
-
-def missed(shortest: int, flip: float, dim: int) -> float:
-    """Share of the pairs with that flip rate that have no common chunk in one string, counted on simulated strings."""
-    rng = np.random.default_rng(SEED)
-    a = rng.integers(0, 2, (SIMULATED, 1, dim), dtype=np.uint8)
-    sides = [chunks(x, shortest)[:2] for x in (a, a ^ (rng.random(a.shape) < flip))]
-    common = set(zip(*map(np.ndarray.tolist, sides[0]))) & set(zip(*map(np.ndarray.tolist, sides[1])))
-    return 1 - len({who for who, _ in common}) / SIMULATED
-
-
-def layout(rows: int, flip: float, dim: int) -> tuple[int, int]:
-    """(bits of the shortest chunk, strings) for a history of so many rows: all but MISS of the pairs share a chunk at every size."""
-    shortest = min(shortest_chunk(rows), dim // 2)
-    while True:
-        alone = missed(shortest, flip, dim)
-        strings = 1 if alone <= MISS else int(np.ceil(np.log(MISS) / np.log(alone))) if alone < 1 else MOST_STRINGS + 1
-        if strings <= MOST_STRINGS or shortest == 1:
-            return shortest, min(strings, MOST_STRINGS)
-        shortest -= 1
-
-
-def sketch_limit(flip: float) -> int:
-    """Differing bits up to which a sketch is kept: beyond are SKETCH_MISS of the pairs with that flip rate at most."""
+    each = _mix(text.astype(np.uint64) | (np.arange(text.shape[1], dtype=np.uint64) << np.uint64(16)))
+    starts = max(0, text.shape[1] - least + 1)
+    who, at = np.nonzero(each[:, :starts] % np.uint64(BOUNDARY) == 0)
+    key = np.zeros(len(who), np.uint64)
+    for k in range(least):
+        key = _mix(key + each[who, at + k])
+    return who, key.view(np.int64)
+
+
+@cache
+def missed(least: int, kept: float, count: int) -> float:
+    """Share of the pairs with that share of letters in common that share no chunk in `count` letters, by simulation."""
+    rng, runs = np.random.default_rng(SEED), np.zeros(SIMULATED, np.int64)
+    opens, found = np.zeros((least, SIMULATED), bool), np.zeros(SIMULATED, bool)
+    for i in range(count):
+        same = rng.random(SIMULATED) < kept
+        runs = np.where(same, runs + 1, 0)
+        opens[i % least] = rng.random(SIMULATED) < 1 / BOUNDARY
+        found |= (runs >= least) & opens[(i + 1) % least]
+    return float(1 - found.mean())
+
+
+def layout(rows: int, cosine: float, dim: int) -> tuple[int, int]:
+    """(letters of a chunk, letters of a string) for a history of so many rows: all but MISS of the pairs share a chunk at every size."""
+    least, kept = shortest_chunk(rows, dim), kept_letters(round(cosine, 3), dim)
+    while least > 1 and missed(least, kept, MOST_LETTERS) > MISS:
+        least -= 1
+    return least, next((n for n in range(8, MOST_LETTERS, 8) if missed(least, kept, n) <= MISS), MOST_LETTERS)
+
+
+def sketch_limit(cosine: float) -> int:
+    """Differing bits up to which a sketch is kept: beyond are SKETCH_MISS of the pairs with that cosine at most."""
+    flip = math.acos(cosine) / math.pi
     each = [math.comb(SKETCH, k) * flip**k * (1 - flip) ** (SKETCH - k) for k in range(SKETCH + 1)]
     return next(k for k in range(SKETCH + 1) if sum(each[k + 1 :]) <= SKETCH_MISS)
 
@@ -108,47 +95,54 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunk_table(prepared: DataFrame, mean: np.ndarray, shortest: int, strings: int, dim: int = DIM) -> DataFrame:
-    """(batch, id, sketch, keys): each vector's chunks; the sketch is cut from strings of its own."""
+def chunk_table(prepared: DataFrame, mean: np.ndarray, least: int, count: int, dim: int = DIM) -> DataFrame:
+    """(batch, id, file, v, sketch, keys): each vector with its chunks' hashes; the sketch has signs of bases of its own."""
     shared = prepared.sparkSession.sparkContext.broadcast(mean)
     more = -(-SKETCH // dim)
+    names = ["batch", "id", "file", "v", "sketch", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from gyral.llm.vectors import rotation
+
         for whole in batches:
-            size = max(1, BLOCK // strings)
-            for batch in (whole.slice(at, size) for at in range(0, whole.num_rows, size)):
-                bits = sign_bits(batch.column(2).to_pylist(), shared.value, strings + more, dim)
-                who, key, _ = chunks(bits[:, :strings], shortest)
-                sketch = np.packbits(bits[:, strings:].reshape(len(bits), -1)[:, :SKETCH], axis=1).view(np.int64)[:, 0]
-                ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(bits)))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(key[np.argsort(who, kind="stable")]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sketch), keys], ["batch", "id", "sketch", "keys"])
+            for batch in (whole.slice(at, BLOCK) for at in range(0, whole.num_rows, BLOCK)):
+                rest = residuals(batch.column(3).to_pylist(), shared.value, dim)
+                who, key = chunks(letters(rest, count), least)
+                signs = np.hstack([rest @ rotation(dim, count + 1 + s).T > 0 for s in range(more)])
+                sketch = np.packbits(signs[:, :SKETCH], axis=1).view(np.int64)[:, 0]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=len(rest)))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sketch), pa.ListArray.from_arrays(pa.array(ends), pa.array(key))], names)
 
-    return prepared.select("batch", "id", "v").mapInArrow(run, "batch bigint, id bigint, sketch bigint, keys array<bigint>")
+    return prepared.select(*names[:4]).mapInArrow(run, "batch bigint, id bigint, file string, v binary, sketch bigint, keys array<bigint>")
 
 
-def _apart(sliced: DataFrame) -> DataFrame:
-    """(batch, id, key, sketch): one row per chunk."""
-    return sliced.select("batch", "id", F.explode("keys").alias("key"), "sketch")
+def buckets_of(table: DataFrame) -> DataFrame:
+    """(batch, id, key, sketch): one row per chunk, and one, without sketch, for the file."""
+    parts = table.select("batch", "id", F.explode("keys").alias("key"), "sketch")
+    files = table.filter(F.col("file").isNotNull()).select("batch", "id", F.xxhash64(F.lit("file"), "file").alias("key"), F.lit(None).cast("bigint").alias("sketch"))
+    return parts.unionByName(files)
 
 
 def _differ(lo: str, hi: str) -> Column:
-    """Bits in which two sketches differ; 0 for links, which have none."""
+    """Bits in which two sketches differ; 0 for files, which have none."""
     return F.coalesce(F.bit_count(F.col(lo).bitwiseXOR(F.col(hi))), F.lit(0))
 
 
 class DedupHistory:
-    """Accepted rows in a folder: `rows` (batch, id, file, code, v) and `chunks` (batch, id, sketch, keys), both append-only.
+    """Everything accepted so far, in a folder that only grows.
 
-    process() checks a new batch against them and appends what it accepts; of the history only those chunk rows
-    are joined whose key the new batch has, and old rows are never chunked or compared among themselves again.
+    `accepted` (batch, id, file, v, sketch, keys) is the chunk table: its keys say which accepted rows hold a chunk. `rejected`
+    (batch, id), a folder a call, and `template`, one row, lie beside it. process() checks a new batch against them and appends what it
+    accepts; old rows are never chunked, shuffled or compared among themselves again: a batch's keys go to the
+    history, and only vectors of rows that share enough with a new one are fetched.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, dim: int = DIM, capacity: int | None = None) -> None:
-        """capacity: rows the history is meant to reach, which sets the chunks' length and number but not the recall; by default the first batch's rows."""
-        self.spark, self.folder, self.dim, self.capacity = spark, folder.rstrip("/"), dim, capacity
+    def __init__(self, spark: SparkSession, folder: str, dim: int = DIM, capacity: int = CAPACITY) -> None:
+        """capacity: rows the history is meant to reach, which sets the chunks' length and number but not the recall."""
+        self.spark, self.folder, self.dim, self.capacity, self._template = spark, folder.rstrip("/"), dim, capacity, None
 
-    def _read(self, name: str) -> DataFrame | None:
+    def read(self, name: str) -> DataFrame | None:
+        """The history's table of that name; None before anything was written to it."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         there = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.parquet(f"{self.folder}/{name}") if there else None
@@ -158,71 +152,83 @@ class DedupHistory:
 
         Rows are judged in the order of (batch, id), so one call may hold many batches. A row is rejected if it has
         cosine `least` or more to an accepted row, or the file of one. A null file is no file; rows without a valid
-        vector take no part; a null batch comes first; rows with the same (batch, id) count once; an empty batch
-        rejects nothing. Each row must be new to the history. Of the pairs at exactly `least` all but MISS are found (more
-        of nearer ones), whatever the history's size; the strings are made for the first batch's `least`, so a lower one
-        later is an error.
+        vector take no part; a null batch comes first; an id that is repeated counts once and is rejected if one of its
+        rows is; an empty batch rejects nothing. Each id must be new to the history. Of the pairs at exactly `least` all
+        but MISS are found (more of nearer ones), whatever the history's size; the strings are made for the first
+        batch's `least`, so a lower one later is an error.
         """
-        spark = self.spark
-        rows = cut(prepare(batch.select(F.coalesce("batch", F.lit(-(2**62))).alias("batch"), "id", "file", "emb"), "emb", self.dim).dropDuplicates(["id"]), "p2-rows")
-        old = self._read("rows")
-        template = self._read("template")
-        if template is None:
-            total = rows.count()
-            sample = fit_sample(rows, "id", FIT, total, self.dim)
-            mean = centre(sample, self.dim).astype(np.float64)
-            rest = float(np.quantile(np.linalg.norm(sample - mean, axis=1), NEAREST)) if total else 1.0
-            if rest < LEAST_REST:  # signs of rows about as near to the template as to each other say nothing
-                mean, rest = np.zeros(self.dim), 1.0
-            flip = flip_rate(rest, least)
-            (shortest, strings), limit, made_for = layout(self.capacity or total, flip, self.dim), sketch_limit(flip), least
-            if keep:
-                spark.createDataFrame([(mean.tolist(), shortest, strings, limit, least)], "mean array<double>, shortest int, strings int, limit int, least double").write.parquet(f"{self.folder}/template")
-        else:
-            mean, shortest, strings, limit, made_for = template.first()
-            mean = np.array(mean)
+        return self.judge(self.prepared(batch), least, keep)
+
+    def prepared(self, batch: DataFrame) -> DataFrame:
+        """batch(batch, id, file, emb) -> (batch, id, file, v): its rows with a valid vector, as judge() takes them."""
+        return prepare(batch.select(F.coalesce("batch", F.lit(-(2**62))).alias("batch"), "id", "file", "emb"), "emb", self.dim).drop("code")
+
+    def _fitted(self, rows: DataFrame, least: float, keep: bool) -> tuple | None:
+        """(mean, letters of a chunk, letters, sketch limit, least), from the first batch that has rows."""
+        if self._template is None:
+            kept = self.read("template")
+            if kept is not None:
+                self._template = tuple(kept.first())
+        if self._template is not None:
+            return self._template
+        total = rows.count()
+        if not total:
+            return None
+        sample = fit_sample(rows, "id", FIT, total, self.dim)
+        mean = centre(sample, self.dim).astype(np.float64)
+        rest = float(np.quantile(np.linalg.norm(sample - mean, axis=1), NEAREST))
+        if rest < LEAST_REST:  # letters of rows about as near to the template as to each other say nothing
+            mean, rest = np.zeros(self.dim), 1.0
+        near = rest_cosine(rest, least)
+        made = (mean.tolist(), *layout(self.capacity, near, self.dim), sketch_limit(near), least)
+        if keep:
+            self.spark.createDataFrame([made], "mean array<double>, least int, count int, limit int, cosine double").coalesce(1).write.parquet(f"{self.folder}/template")
+            self._template = made
+        return made
+
+    def judge(self, prepared: DataFrame, least: float = 0.98, keep: bool = True) -> DataFrame:
+        """process() for rows that prepared() has made."""
+        own = cut(prepared, "p2-rows") if self._template is None else None
+        rows = prepared if own is None else own
+        made = self._fitted(rows, least, keep)
+        if made is None:
+            return rows.select("batch", "id").limit(0)
+        mean, shortest, count, limit, made_for = made
         if least < made_for:
             raise ValueError(f"the history is made for cosines of {made_for} and more, not {least}")
-        sliced = cut(chunk_table(rows, mean, shortest, strings, self.dim), "p2-chunks")
-        links = rows.select("batch", "id", F.xxhash64(F.lit("code"), "code").alias("key")).unionByName(
-            rows.filter(F.col("file").isNotNull()).select("batch", "id", F.xxhash64(F.lit("file"), "file").alias("key"))
-        )
-        buckets = _apart(sliced).unionByName(links.withColumn("sketch", F.lit(None).cast("bigint")))
-        rejected, undecided = None, rows
-        if old is not None:
-            rejected = cut(self._against(rows, buckets, old, least, limit), "p2-old")
-            buckets, undecided = buckets.join(rejected, "id", "left_anti"), rows.join(rejected, "id", "left_anti")
-        inside = self._within(undecided, buckets, least, limit)
-        rejected = inside if rejected is None else rejected.unionByName(inside)
-        rejected = cut(rejected, "p2-rejected")
+        table = cut(chunk_table(rows, np.array(mean), shortest, count, self.dim), "p2-chunks")
+        old = self.read("accepted")
+        met = None if old is None else self._against(table, old, limit)
+        rejected = self._waves(table, met, old, least, limit)
+        verdict = table.select("batch", "id").join(rejected, "id", "left_semi").distinct()
         if keep:
-            rows.join(rejected, "id", "left_anti").select("batch", "id", "file", "code", "v").write.mode("append").parquet(f"{self.folder}/rows")
-            sliced.join(rejected, "id", "left_anti").write.mode("append").parquet(f"{self.folder}/chunks")
-        return rows.join(rejected, "id", "left_semi").select(F.when(F.col("batch") > -(2**62), F.col("batch")).alias("batch"), "id")
-
-    def _against(self, rows: DataFrame, buckets: DataFrame, old: DataFrame, least: float, limit: int) -> DataFrame:
-        """Ids of new rows that repeat an accepted row; links by file and code need no check."""
-        sure = [
-            rows.filter(F.col("file").isNotNull()).join(old.select("file").filter(F.col("file").isNotNull()).distinct(), "file", "left_semi").select("id"),
-            rows.join(old.select("code").distinct(), "code", "left_semi").select("id"),
-        ]
-        known = sure[0].union(sure[1]).distinct()
-        left = buckets.filter(F.col("sketch").isNotNull()).join(known, "id", "left_anti")
-        keys = cut(left.select("key").distinct(), "p2-keys")
-        keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-        met = _apart(self._read("chunks")).join(keys, "key", "left_semi").select("key", F.col("id").alias("lo"), F.col("sketch").alias("other"))
-        pairs = left.select("key", "sketch", F.col("id").alias("hi")).join(met, "key").filter(_differ("sketch", "other") <= limit).select("lo", "hi").distinct()
-        near = verified(pairs, old.select("id", "v").unionByName(rows.select("id", "v")), "id", least, self.dim)
-        return known.union(near.select(F.col("hi").alias("id"))).distinct()
-
-    def _within(self, rows: DataFrame, buckets: DataFrame, least: float, limit: int) -> DataFrame:
-        """Ids of new rows that repeat an accepted new row.
+            at = f"{self.folder}/rejected/call={uuid.uuid4().hex}"
+            verdict.write.parquet(at)
+            verdict = self.spark.read.schema("batch bigint, id bigint").parquet(at)
+            table.join(verdict, "id", "left_anti").write.mode("append").parquet(f"{self.folder}/accepted")
+        else:
+            verdict = cut(verdict, "p2-verdict")
+        discard(own, table)
+        return verdict.select(F.when(F.col("batch") > -(2**62), F.col("batch")).alias("batch"), "id")
+
+    def _against(self, table: DataFrame, old: DataFrame, limit: int) -> DataFrame:
+        """(lo, hi, sure, shared): accepted rows lo that share chunks, or the file, with new rows hi."""
+        new = buckets_of(table).select("key", F.col("id").alias("hi"), "sketch")
+        many = table.agg(F.sum(F.size("keys") + 1)).first()[0] or 0
+        # a file's key meets a file's key only; it has no sketch on the new side
+        held = F.explode(F.concat("keys", F.when(F.col("file").isNull(), F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(F.lit("file"), "file")))))
+        there = old.select(F.col("id").alias("lo"), F.col("sketch").alias("other"), held.alias("key"))
+        both = there.join(F.broadcast(new), "key") if many <= BROADCAST_KEYS else spread_join(there, new, "key")
+        return both.filter((_differ("sketch", "other") <= limit) & (F.col("lo") != F.col("hi"))).select("lo", "hi", F.col("sketch").isNull().alias("sure"))
+
+    def _waves(self, table: DataFrame, met: DataFrame | None, old: DataFrame | None, least: float, limit: int) -> DataFrame:
+        """Ids of new rows that repeat an accepted row, old or new; met has their candidates among the old.
 
         In waves: the rows of a large bucket are held to its first undecided rows only, so work stays linear in the
         bucket's size; a row is accepted once it is such a head in all its large buckets and no undecided earlier row
         repeats it. What is neither accepted nor rejected goes to the next wave with more heads.
         """
-        heads, rejected = HEADS, None
+        buckets, heads, rejected = buckets_of(table), HEADS, None
         while True:
             most = max(SMALL, heads)
             row = F.struct("batch", "id", "sketch")
@@ -230,51 +236,62 @@ class DedupHistory:
             first = ranked.filter(F.col("n") <= most + 1).groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("heads")).filter(F.size("heads") > 1)
             first = cut(first.select("key", "heads", (F.size("heads") > most).alias("large")), "p2-heads")
             large = first.filter("large").select("key", F.slice("heads", 1, heads).alias("heads"))
-            large = F.broadcast(large) if large.count() * heads <= BROADCAST_HEADS else large
-            met = buckets.join(large, "key")
+            n_large = large.count()
             # small buckets are whole in `heads`
-            small = first.filter(~F.col("large")).select("heads", F.explode("heads").alias("row"))
+            sides = first.filter(~F.col("large")).select("heads", F.explode("heads").alias("row"))
+            late = None
+            if n_large:
+                in_large = buckets.join(F.broadcast(large), "key") if n_large * heads <= BROADCAST_HEADS else split_join(buckets, large, "key", "inner")
+                sides = sides.unionByName(in_large.select("heads", row.alias("row")))
+                last = F.element_at("heads", -1)
+                late = in_large.filter(F.struct("batch", "id") > F.struct(last["batch"], last["id"])).select("id").distinct()
             pairs = (
-                small.unionByName(met.select("heads", row.alias("row")))
-                .select("row", F.explode("heads").alias("head"))
-                .filter((F.struct("head.batch", "head.id") < F.struct("row.batch", "row.id")) & (_differ("head.sketch", "row.sketch") <= limit))
-                .groupBy(F.col("row.id").alias("hi"), F.col("head.id").alias("lo"))
-                .agg(F.bool_or(F.col("row.sketch").isNull()).alias("sure"))
+                sides.select("row", F.explode("heads").alias("head"))
+                .filter((F.struct("head.batch", "head.id") < F.struct("row.batch", "row.id")) & (F.col("head.id") != F.col("row.id")) & (_differ("head.sketch", "row.sketch") <= limit))
+                .select(F.col("head.id").alias("lo"), F.col("row.id").alias("hi"), F.col("row.sketch").isNull().alias("sure"))
             )
-            pairs = cut(pairs.select("lo", "hi", "sure"), "p2-pairs")
-            edges = verified(pairs.filter(~F.col("sure")).select("lo", "hi"), rows.select("id", "v"), "id", least, self.dim)
-            edges = cut(edges.union(pairs.filter("sure").select("lo", "hi")).distinct(), "p2-edges")
-            last = F.element_at("heads", -1)
-            late = met.filter(F.struct("batch", "id") > F.struct(last["batch"], last["id"])).select("id").distinct()
-            late = cut(late, "p2-late")
+            pairs = pairs if met is None else pairs.unionByName(met)
+            # coverage: what a pair shares; one chunk or the file is enough for the exact check
+            pairs = cut(pairs.groupBy("lo", "hi").agg(F.bool_or("sure").alias("sure"), F.count("*").alias("shared")).filter("shared >= 1"), "p2-pairs")
+            doubtful = pairs.filter(~F.col("sure")).select("lo", "hi")
+            vectors = table.select("id", "v") if old is None else table.select("id", "v").unionByName(old.select("id", "v"))
+            few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
+            near = verified(doubtful, vectors, "id", least, self.dim, few)
+            edges = cut(near.unionByName(pairs.filter("sure").select("lo", "hi")).distinct(), "p2-edges")
+            late = None if late is None else cut(late, "p2-late")
             now, open_ = resolve(edges, late)
+            discard(first, pairs)
             rejected = now if rejected is None else rejected.union(now)
-            if open_.isEmpty():
-                return rejected
+            if open_ is None:
+                return rejected.distinct()
             buckets = cut(buckets.join(open_, "id", "left_semi"), "p2-open")
-            rows, heads = rows.join(open_, "id", "left_semi"), heads * 4
+            table, met, heads = table.join(open_, "id", "left_semi"), None, heads * 4
 
 
-def resolve(edges: DataFrame, late: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rejected ids, and ids that stay open, of the ordered conflicts edges(lo earlier, hi later).
+def resolve(edges: DataFrame, late: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Rejected ids, and ids that stay open (None: none does), of the ordered conflicts edges(lo earlier, hi later).
 
     Rows in `late` may be rejected but not yet accepted. Each round accepts every row without an open earlier
     conflict and rejects what conflicts with it; only the conflicts between open rows go to the next round.
     """
-    rejected = []
+    done = edges.select(F.col("hi").alias("id")).limit(0)
     while True:
-        accepted = edges.select(F.col("lo").alias("id")).distinct().join(edges.select(F.col("hi").alias("id")), "id", "left_anti").join(late, "id", "left_anti")
-        out = edges.join(accepted.withColumnRenamed("id", "lo"), "lo", "left_semi").select(F.col("hi").alias("id")).distinct()
-        out = cut(out, "p2-out")
-        if out.isEmpty():
-            break
-        rejected.append(out)
+        accepted = edges.select(F.col("lo").alias("id")).distinct().join(edges.select(F.col("hi").alias("id")), "id", "left_anti")
+        if late is not None:
+            accepted = accepted.join(late, "id", "left_anti")
+        out = cut(edges.join(accepted.withColumnRenamed("id", "lo"), "lo", "left_semi").select(F.col("hi").alias("id")).distinct(), "p2-out")
+        done = done.union(out)
         gone = out.select(F.col("id").alias("hi"))
         left = edges.join(gone, "hi", "left_anti").join(gone.withColumnRenamed("hi", "lo"), "lo", "left_anti")
+        if left.isEmpty():
+            edges = left
+            if late is None:
+                return done, None
+            break
+        if out.isEmpty():
+            break
         edges = cut(left, "p2-edges")
-    done = rejected[0] if rejected else late.limit(0)
-    for more in rejected[1:]:
-        done = done.union(more)
     # what waits: rows that were not heads everywhere, and rows behind an open one
-    waiting = late.union(edges.select(F.col("hi").alias("id"))).distinct().join(done, "id", "left_anti")
-    return done, cut(waiting, "p2-waiting")
+    waiting = edges.select(F.col("hi").alias("id"))
+    waiting = cut((waiting if late is None else waiting.union(late)).distinct().join(done, "id", "left_anti"), "p2-waiting")
+    return done, None if waiting.isEmpty() else waiting

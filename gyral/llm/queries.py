@@ -22,26 +22,29 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _donors(spark, sf_dir).select(F.col("batch_no").cast("bigint").alias("batch"), F.col("donor_id").alias("id"), file_key(F.col("paths")).alias("file"), "emb")
     state = history.DedupHistory(spark, scratch_dir(spark, "p2-history"))
-    return state.process(rows).select(F.col("id").alias("donor_id"))
+    # one folder per batch, as batches come in; each is judged against the persistent table that the ones before have left
+    arrived = cut(state.prepared(rows), "p2-arrived", ["batch"])
+    for number in sorted(r[0] for r in arrived.select("batch").distinct().collect()):
+        state.judge(arrived.filter(F.col("batch") == number).select("batch", "id", "file", "v"))
+    gone = state.read("rejected")
+    return (arrived.limit(0) if gone is None else gone).select(F.col("id").alias("donor_id"))
 
 
 def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/donor_manifest.parquet")
 
 
-def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.col("names")
-    rows = _manifest(spark, sf_dir).select(F.col("manifest_id").alias("id"), "split_name", case_key(name).alias("case"))
-    vectors = _donors(spark, sf_dir).select(case_key(file_key(F.col("paths"))).alias("case"), "emb")
-    return overlap.cross_split(rows, vectors)
+def _cases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = _manifest(spark, sf_dir).select(F.col("manifest_id").alias("id"), "split_name", case_key(F.col("names")).alias("case"))
+    return rows, _donors(spark, sf_dir).select(case_key(file_key(F.col("paths"))).alias("case"), "emb")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _overlap(spark, sf_dir).select("a_id", "b_id").distinct()
+    return overlap.cross_split(*_cases(spark, sf_dir)).select("a_id", "b_id").distinct()
 
 
 def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.overlap_report(_overlap(spark, sf_dir))
+    return overlap.overlap_report(*_cases(spark, sf_dir))
 
 
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -130,6 +133,11 @@ def _case(name: str) -> str:
     return f"CASE WHEN starts_with({subject}, 'goat-') THEN {subject} WHEN {_group(name, 8)} <> '' THEN {subject} || '-' || {_group(name, 8)} END"
 
 
+_ACROSS = f"""WITH {_VALID}, k AS (SELECT DISTINCT {_case('file')} AS c, e FROM v), m AS (SELECT manifest_id AS id, split_name, {_case('names')} AS c FROM donor_manifest WHERE split_name IN ('train', 'val', 'official_val')),
+  ev AS (SELECT DISTINCT c FROM m WHERE split_name <> 'train' AND c IS NOT NULL), tr AS (SELECT DISTINCT c FROM m WHERE split_name = 'train' AND c IS NOT NULL),
+  links AS (SELECT ev.c AS a, tr.c AS b FROM ev JOIN tr ON ev.c = tr.c UNION SELECT p.c, q.c FROM k p JOIN ev ON ev.c = p.c JOIN k q ON list_dot_product(p.e, q.e) >= 0.98 JOIN tr ON tr.c = q.c),
+  pairs AS (SELECT x.id AS e, y.id AS t, x.split_name AS eval_split, split_part(x.c, '-', 1) AS eval_cohort FROM links JOIN m x ON x.c = links.a AND x.split_name <> 'train' JOIN m y ON y.c = links.b AND y.split_name = 'train')"""
+
 #: Exact versions; the operators for problems 1 and 4 are approximate in candidate search only.
 SQL = {
     "p1_found": f"""WITH {_VALID}, near AS (SELECT a.donor_id AS a, b.donor_id AS b, list_dot_product(a.e, b.e) AS s FROM v a JOIN v b ON a.donor_id <> b.donor_id AND a.file IS DISTINCT FROM b.file OR (a.file IS NULL AND a.donor_id <> b.donor_id)),
@@ -141,10 +149,8 @@ SQL = {
   root AS (SELECT s, min(r) AS r FROM reach GROUP BY 1), m AS (SELECT manifest_id, {_subject('names')} AS s FROM donor_manifest),
   g AS (SELECT manifest_id, min(manifest_id) OVER (PARTITION BY coalesce(root.r, m.s)) AS first_id FROM m LEFT JOIN root ON root.s = m.s WHERE m.s IS NOT NULL)
   SELECT DISTINCT first_id, manifest_id FROM g WHERE first_id <> manifest_id""",
-    "p4_found": f"""WITH {_VALID}, k AS (SELECT DISTINCT {_case('file')} AS c, e FROM v), m AS (SELECT manifest_id AS id, split_name, {_case('names')} AS c FROM donor_manifest WHERE split_name IN ('train', 'val', 'official_val')),
-  ev AS (SELECT DISTINCT c FROM m WHERE split_name <> 'train' AND c IS NOT NULL), tr AS (SELECT DISTINCT c FROM m WHERE split_name = 'train' AND c IS NOT NULL),
-  links AS (SELECT ev.c AS a, tr.c AS b FROM ev JOIN tr ON ev.c = tr.c UNION SELECT p.c, q.c FROM k p JOIN ev ON ev.c = p.c JOIN k q ON list_dot_product(p.e, q.e) >= 0.98 JOIN tr ON tr.c = q.c)
-  SELECT DISTINCT least(x.id, y.id) AS a_id, greatest(x.id, y.id) AS b_id FROM links JOIN m x ON x.c = links.a AND x.split_name <> 'train' JOIN m y ON y.c = links.b AND y.split_name = 'train'""",
+    "p4_found": f"{_ACROSS} SELECT DISTINCT least(e, t) AS a_id, greatest(e, t) AS b_id FROM pairs",
+    "p4_report": f"{_ACROSS} SELECT eval_split, eval_cohort, CAST(count(*) AS BIGINT) AS n_pairs, count(DISTINCT e) AS n_rows FROM pairs GROUP BY 1, 2",
     "p2_found": f"""WITH RECURSIVE {_VALID}, o AS (SELECT *, row_number() OVER (ORDER BY batch_no, donor_id) AS n FROM v),
   k AS (SELECT y.n, list(x.n) AS before FROM o x JOIN o y ON x.n < y.n AND (x.file = y.file OR list_dot_product(x.e, y.e) >= 0.98) GROUP BY 1),
   s AS (SELECT o.n, o.donor_id, coalesce(k.before, []) AS before FROM o LEFT JOIN k ON k.n = o.n WHERE k.n IS NOT NULL OR o.n IN (SELECT unnest(before) FROM k)),

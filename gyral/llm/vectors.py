@@ -84,13 +84,23 @@ def centre(sample: np.ndarray, dim: int = DIM) -> np.ndarray:
     return sample.mean(0) if len(sample) else np.zeros(dim, np.float32)
 
 
-def verified(pairs: DataFrame, vectors: DataFrame, key: str, least: float, dim: int = DIM) -> DataFrame:
-    """pairs(lo, hi) of keys whose exact cosine is at least `least`; vectors(key, v) has one row per key."""
-    lo = vectors.select(F.col(key).alias("lo"), F.col("v").alias("v_lo"))
-    hi = vectors.select(F.col(key).alias("hi"), F.col("v").alias("v_hi"))
-    both = pairs.join(lo, "lo").join(hi, "hi")
-    names = [f for f in pairs.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+def verified(pairs: DataFrame, vectors: DataFrame, key: str, least: float, dim: int = DIM, few: bool = False) -> DataFrame:
+    """pairs(lo, hi) of keys whose exact cosine is at least `least`; vectors(key, v) has one row per key.
+
+    One pass over the vectors: each meets the pairs it is in, then the two sides of a pair meet. few: the pairs are known
+    to be few enough to be sent to the vectors, which then stay where they are but for those of the pairs.
+    """
+    side = lambda c: F.struct(F.col(c).alias(key), F.lit(c == "lo").alias("first"))
+    asked = pairs.select("lo", "hi", F.explode(F.array(side("lo"), side("hi"))).alias("s")).select("lo", "hi", f"s.{key}", "s.first")
+    got = vectors.select(key, "v").join(F.broadcast(asked) if few else asked, key)
+    both = got.groupBy("lo", "hi").agg(F.max(F.when(F.col("first"), F.col("v"))).alias("v_lo"), F.max(F.when(~F.col("first"), F.col("v"))).alias("v_hi"))
+    return alike(both.filter("v_lo is not null and v_hi is not null"), least, dim)
+
+
+def alike(both: DataFrame, least: float, dim: int = DIM) -> DataFrame:
+    """The rows of both(..., v_lo, v_hi) whose vectors have at least that exact cosine, without the vectors."""
+    kept = [f for f in both.schema if f.name not in ("v_lo", "v_hi")]
+    names, schema = [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,4 +111,4 @@ def verified(pairs: DataFrame, vectors: DataFrame, key: str, least: float, dim:
             keep = batch.take(pa.array(np.flatnonzero(cos >= least)))
             yield pa.RecordBatch.from_arrays([keep.column(keep.schema.get_field_index(n)) for n in names], names)
 
-    return both.select(*names, "v_lo", "v_hi").mapInArrow(run, schema)
+    return both.mapInArrow(run, schema)

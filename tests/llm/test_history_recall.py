@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from gyral.llm import history
-from gyral.llm.vectors import rotation
+from gyral.llm.signs import letters, rest_cosine
 from tests.llm.test_vectors import DIM, batches, state, units
 
 
@@ -18,17 +18,30 @@ def pairs_at(cosine, n, dim, seed=0):
     return a, cosine * a + np.sqrt(1 - cosine**2) * side
 
 
-@pytest.mark.parametrize("rows", [20_000, 200_000, 2_000_000])
+def shared(a, b, least, count):
+    """Which rows of a and b have a chunk in common."""
+    sides = [history.chunks(letters(x.astype(np.float32), count), least) for x in (a, b)]
+    common = set(zip(*map(np.ndarray.tolist, sides[0]))) & set(zip(*map(np.ndarray.tolist, sides[1])))
+    together = np.zeros(len(a), bool)
+    together[[who for who, _ in common]] = True
+    return together
+
+
+@pytest.mark.parametrize("rows", [20_000, 200_000, 2_000_000, 43_000_000, 1_000_000_000])
 def test_recall_does_not_fall_with_size(rows):
     a, b = pairs_at(0.98, 3000, 144)
     mean = a.mean(0)
-    shortest, strings = history.layout(rows, history.flip_rate(np.linalg.norm(a - mean, axis=1).min(), 0.98), 144)
-    together = np.zeros(len(a), bool)
-    for s in range(1, strings + 1):
-        sides = [history.chunks(((x - mean) @ rotation(144, s).T > 0).astype(np.uint8)[:, None], shortest)[:2] for x in (a, b)]
-        common = set(zip(*map(np.ndarray.tolist, sides[0]))) & set(zip(*map(np.ndarray.tolist, sides[1])))
-        together[[who for who, _ in common]] = True
-    assert together.mean() >= 0.997
+    least, count = history.layout(rows, rest_cosine(np.linalg.norm(a - mean, axis=1).min(), 0.98), 144)
+    assert shared(a - mean, b - mean, least, count).mean() >= 0.997
+
+
+def test_strangers_share_few_chunks():
+    rng = np.random.default_rng(5)
+    least, count = history.layout(history.CAPACITY, 0.96, 144)
+    _, key = history.chunks(letters(rng.standard_normal((20_000, 144)).astype(np.float32), count), least)
+    _, n = np.unique(key, return_counts=True)
+    # strangers' cosines scatter around 0, and the nearer ones meet more often than pairs at exactly 0
+    assert (n * (n - 1) // 2).sum() <= 20_000 * 20_000 / 2 * count / history.BOUNDARY / 288**least * 5
 
 
 def test_large_history_finds_weak_pairs(spark):

@@ -179,16 +179,16 @@ def test_empty_history(spark):
 
 def test_chunks_follow_content():
     rng = np.random.default_rng(0)
-    bits = rng.integers(0, 2, (50, 2, 144)).astype(np.uint8)
-    least = history.shortest_chunk(40_000)
-    who, key, size = history.chunks(bits, least)
-    covered = np.bincount(who, weights=size, minlength=50)
-    assert (covered <= 288).all() and (covered >= 288 - 2 * least).all() and size.min() >= least == 15 and size.max() <= least + history.MORE_BITS
-    other = bits.copy()
-    other[:, 0, 0] ^= 1
-    _, key2, _ = history.chunks(other, least)
-    assert len(set(key) & set(key2)) > 0.7 * len(set(key))
-    assert len(history.chunks(np.zeros((0, 2, 144), np.uint8), least)[0]) == 0
+    text = rng.integers(0, 288, (50, 96)).astype(np.uint16)
+    who, key = history.chunks(text, 3)
+    assert abs(len(who) / (50 * 94) - 1 / history.BOUNDARY) < 0.05 and len(set(key)) == len(key)
+    other = text.copy()
+    other[:, 10] ^= 1
+    _, key2 = history.chunks(other, 3)
+    assert len(set(key) & set(key2)) >= 0.93 * len(set(key))
+    assert not set(key) & set(history.chunks(np.roll(text, 1, 1), 3)[1])
+    assert len(history.chunks(np.zeros((0, 96), np.uint16), 3)[0]) == 0
+    assert len(history.chunks(text[:, :2], 3)[0]) == 0
 
 
 MANIFEST = "id bigint, split_name string, `case` string"
@@ -212,8 +212,10 @@ def test_cross_split(spark):
     pairs = overlap.cross_split(df, vec, 0.98, DIM)
     got, want = {(r.a_id, r.b_id) for r in pairs.collect()}, crossed(rows, vectors)
     assert len(got ^ want) <= 0.02 * len(want) and len(want) > 100
-    report = overlap.overlap_report(pairs)
-    assert sum(r.n_pairs for r in report.collect()) == len(got)
+    report = overlap.overlap_report(df, vec, 0.98, DIM).collect()
+    assert sum(r.n_pairs for r in report) == len(got)
+    side = {i for i, s, _ in rows if s in overlap.EVALUATION}
+    assert sum(r.n_rows for r in report) == len({x for pair in got for x in pair if x in side})
 
 
 def test_cross_split_without_sides(spark):
