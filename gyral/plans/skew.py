@@ -46,5 +46,5 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, rows: int = 64_000,
         return left.join(right, key)
     rest = left.filter(~F.col(key).isin(hot)).join(right.filter(~F.col(key).isin(hot)), key)
     salted = left.filter(F.col(key).isin(hot)).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    copies = right.filter(F.col(key).isin(hot)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("bigint"))
+    copies = right.filter(F.col(key).isin(hot)).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     return rest.unionByName(salted.join(copies, [key, "_salt"]).drop("_salt"))

@@ -19,11 +19,11 @@ def test_spread_join_of_hot_keys(spark):
     left, right = keyed(spark, 9_000, 7, "a"), keyed(spark, 90, 7, "b")
     want = left.join(right, "k").agg(F.count("*"), F.sum("a"), F.sum("b")).first()
     got = spread_join(left, right, "k", rows=64, sampled=8)
-    assert "_salt" in got._jdf.queryExecution().toString()
+    assert "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
     assert got.agg(F.count("*"), F.sum("a"), F.sum("b")).first() == want and got.columns == ["k", "a", "b"]
     assert spread_join(left, right.filter("false"), "k", rows=64, sampled=8).count() == 0
     plain = spread_join(left, right, "k")
-    assert "_salt" not in plain._jdf.queryExecution().toString() and plain.count() == want[0]
+    assert "_salt" not in plain._jdf.queryExecution().optimizedPlan().toString() and plain.count() == want[0]
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
