@@ -14,7 +14,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_report(orphan_references(donor_references(spark, sf_dir), donor_files(spark, sf_dir)))
+    return orphan_report(donor_references(spark, sf_dir), donor_files(spark, sf_dir))
 
 
 _KEY = r"nullif(lower(trim(regexp_extract(replace(regexp_replace({0}, '[\s/\\]+$', ''), '\', '/'), '[^/]*$'), e' \t\n\r')), '')"

@@ -1,4 +1,6 @@
+import random
 from datetime import datetime as D
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
@@ -34,7 +36,29 @@ def test_empty_tables(spark):
     one = refs(spark, [("t", 1, "a", D(2025, 1, 1))])
     assert orphan_references(none, no_files).count() == 0
     assert [r["reason"] for r in orphan_references(one, no_files).collect()] == ["missing"]
-    assert orphan_report(orphan_references(one, no_files)).collect()[0]["n_refs"] == 1
+    assert orphan_report(one, no_files).collect()[0]["n_refs"] == 1
+    assert orphan_report(none, no_files).count() == 0
+
+
+def test_report_counts_what_the_rows_say(spark):
+    rng = random.Random(4)
+    day = lambda n: D(2025, 1, 1) + timedelta(hours=n)
+    files = spark.createDataFrame([(f"k{rng.randrange(12)}", day(a := rng.randrange(3000)), day(a + rng.randrange(900)) if rng.random() < 0.8 else None) for _ in range(30)], FILES)
+    many = refs(spark, [(f"t{rng.randrange(2)}", i, "k1" if i % 3 == 0 else f"k{rng.randrange(16)}" if i % 11 else None, day(rng.randrange(4000)) if i % 13 else None) for i in range(4000)])
+    rows = orphan_references(many, files).groupBy("ref_table", F.date_format("t", "yyyy-MM").alias("month"), "reason").count()
+    want = {tuple(r) for r in rows.collect()}
+    assert {tuple(r) for r in orphan_report(many, files).collect()} == want and len(want) > 20
+
+
+def test_hot_lifetimes_beyond_the_broadcast(spark, monkeypatch):
+    """A hot key with more lifetimes than are broadcast is salted instead."""
+    from gyral.operators import orphans
+
+    monkeypatch.setattr(orphans, "BROADCAST_ROWS", 5)
+    day = lambda n: D(2025, 1, 1) + timedelta(days=n)
+    files = spark.createDataFrame([("hot", day(2 * i), day(2 * i + 1)) for i in range(20)], FILES)
+    many = spark.range(4000).select(F.lit("t").alias("ref_table"), F.col("id").alias("row_id"), F.lit("hot").alias("key"), F.expr("TIMESTAMP_NTZ '2025-01-01' + make_interval(0, 0, 0, CAST(id % 38 AS INT))").alias("t"))
+    assert orphan_references(many, files).count() == many.filter("id % 38 % 2 = 1").count()
 
 
 def test_hot_key_that_came_back(spark):
