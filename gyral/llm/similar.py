@@ -10,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gyral.llm.vectors import DIM, FIT_ROWS, centre, decode, fit_sample, prepare, unit
+from gyral.llm.vectors import DIM, FIT_ROWS, SEED, centre, decode, fit_sample, prepare, unit
 from gyral.plans.skew import split_join
 from gyral.session import cut
 
 K = 10
 #: Rows of a list on average if each row were in one list only; lists at most; lists each row is put into.
-LIST_ROWS, MAX_LISTS, PROBES = 200, 16_384, 5
-#: A list is expected to hold at most so many rows before it is scanned in parts.
-PART_ROWS = 8_192
+LIST_ROWS, MAX_LISTS, PROBES = 200, 262_144, 6
+#: Lists lie in about as many cells as a cell has lists. Cells whose lists a row is compared with, fitted rows for each cell,
+#: and for each list (at most FIT_ROWS in one cell).
+CELLS, CELL_SAMPLE, LIST_SAMPLE = 12, 64, 16
+#: A list with more rows is scanned in tiles of so many queries by so many targets.
+PART_ROWS = 4_096
 #: Dimensions after which a candidate's partial distance is tested, and the tests' strictness.
 BLOCKS, EPSILON = (48, 96), 2.1
 
@@ -37,13 +40,70 @@ def fit_lists(sample: np.ndarray, lists: int, mean: np.ndarray, rounds: int = 3)
     return centroids
 
 
-def _nearest(rest: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
-    out = np.empty((len(rest), probes), np.int32)
-    step = max(64, min(1024, 4_000_000 // max(1, len(centroids))))
-    for i in range(0, len(rest), step):
-        score = rest[i : i + step] @ centroids.T
-        out[i : i + step] = np.argpartition(-score, probes - 1, axis=1)[:, :probes] if probes < score.shape[1] else np.arange(score.shape[1])[None, :probes]
-    return out
+class Lists:
+    """Inverted lists in two levels: cells, and in each cell its lists, as unit vectors of the residual."""
+
+    def __init__(self, mean: np.ndarray, cells: np.ndarray, starts: np.ndarray, lists: np.ndarray) -> None:
+        """starts: the first list of each cell and, last, the number of lists; lists: float16, cell after cell."""
+        self.mean, self.cells, self.starts, self.lists, self.near = mean, cells, starts, lists, CELLS
+
+    def cell(self, rest: np.ndarray) -> np.ndarray:
+        return np.concatenate([(part @ self.cells.T).argmax(1) for part in np.array_split(rest, len(rest) // 4096 + 1)])
+
+    def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """(rows, probes): the lists nearest to each vector among those of its CELLS nearest cells; -1 where there are fewer."""
+        rest = (x - self.mean).astype(np.float32)
+        score = rest @ self.cells.T
+        near = np.argpartition(-score, self.near - 1, axis=1)[:, : self.near] if self.near < score.shape[1] else np.tile(np.arange(score.shape[1]), (len(x), 1))
+        found, best = np.full((len(x), near.shape[1], probes), -1, np.int32), np.full((len(x), near.shape[1], probes), -np.inf, np.float32)
+        order = np.argsort(near, axis=None, kind="stable")
+        ends = np.cumsum(np.bincount(near.ravel(), minlength=len(self.cells)))
+        for c, (a, b) in enumerate(zip(np.r_[0, ends[:-1]], ends)):
+            row, place = np.divmod(order[a:b], near.shape[1])
+            first, last = self.starts[c], self.starts[c + 1]
+            if not len(row) or first == last:
+                continue
+            score = rest[row] @ self.lists[first:last].astype(np.float32).T
+            n = min(probes, last - first)
+            top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+            found[row, place, :n] = first + top
+            best[row, place, :n] = np.take_along_axis(score, top, 1)
+        found, best = found.reshape(len(x), -1), best.reshape(len(x), -1)
+        top = np.argpartition(-best, probes - 1, axis=1)[:, :probes] if probes < best.shape[1] else np.tile(np.arange(best.shape[1]), (len(x), 1))
+        return np.take_along_axis(found, top, 1)
+
+
+def fit_two_levels(rows: DataFrame, total: int, dim: int) -> Lists:
+    """Cells from a sample on the driver, then the lists of each cell from the cell's own sample, cell by cell in the tasks.
+
+    Both samples are bounded and chosen by a hash of the id. Where rows lie densely there are more of the sample and so more
+    lists, so that lists are about equally long; only the lists themselves, at most MAX_LISTS, reach the driver.
+    """
+    lists = int(min(MAX_LISTS, max(1, total // LIST_ROWS)))
+    cells = max(1, round(lists**0.5))
+    sample = fit_sample(rows, "id", min(FIT_ROWS, CELL_SAMPLE * cells), total, dim)
+    mean = centre(sample, dim)
+    lists_so_far = Lists(mean, fit_lists(sample, cells, mean), None, None)
+    share = min(1.0, LIST_SAMPLE * lists / max(1, total))
+    shared = rows.sparkSession.sparkContext.broadcast(lists_so_far)
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rest = unit(decode(batch.column(1).to_pylist(), dim)) - shared.value.mean
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.cell(rest).astype(np.int32))], ["id", "v", "cell"])
+
+    def fit_cell(group: pd.DataFrame) -> pd.DataFrame:
+        wanted = max(1, round(len(group) * lists / (share * total)))
+        group = group.sort_values("id", kind="stable").iloc[:: -(-len(group) // FIT_ROWS)]
+        own = fit_lists(unit(decode(group["v"], dim)), wanted, shared.value.mean)
+        return pd.DataFrame({"cell": group["cell"].iloc[0], "list": [x.tobytes() for x in own.astype("<f2")]})
+
+    some = rows.filter(F.pmod(F.xxhash64(F.lit(SEED + 1), "id"), F.lit(1_000_000)) < int(1_000_000 * share) + 1)
+    fitted = some.select("id", "v").mapInArrow(celled, "id bigint, v binary, cell int").groupBy("cell").applyInPandas(fit_cell, "cell int, list binary").collect()
+    fitted.sort(key=lambda r: (r[0], bytes(r[1])))
+    starts = np.r_[0, np.cumsum(np.bincount([r[0] for r in fitted], minlength=len(lists_so_far.cells)))]
+    return Lists(mean, lists_so_far.cells, starts, np.frombuffer(b"".join(bytes(r[1]) for r in fitted), "<f2").reshape(-1, dim))
 
 
 def scan(ids: np.ndarray, files: np.ndarray, ints: np.ndarray, queries: np.ndarray, targets: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
@@ -99,17 +159,17 @@ def neighbours(df: DataFrame, id_col: str, emb: str, file_col: str, k: int = K,
 
     A null file differs from every file; rows without a valid vector take no part; ties go to the smaller id;
     an empty table gives no rows; further columns, whatever their names, are not read. Approximate in one point
-    only: a pair is seen if its rows share one of their PROBES nearest lists (recall in the README). Rows with the
-    same int8 code beyond 2k of a group (k per file) are not searched anew: they take over the list of a row of
-    their code and file, or the group's first rows, so that a group of copies costs no more than its rows.
+    only: a pair is seen if its rows share one of their PROBES nearest lists (recall in the README). Rows with exactly
+    equal vectors beyond 2k of a group (k per file) are not searched anew: they take over the list of a row of their
+    vector and file, or the group's first rows at cosine 1, which is what a search would give them.
     """
     spark = df.sparkSession
     mine = df.select(F.col(id_col).alias("id"), F.when(F.col(file_col).isNull(), F.lit(0)).otherwise(F.xxhash64(file_col)).alias("file"), F.col(emb).alias("emb"))
-    rows = cut(prepare(mine, "emb", dim), "p1-rows")
+    rows = cut(prepare(mine, "emb", dim).select("id", "file", "v", F.xxhash64("v").alias("code")), "p1-rows")
     total = rows.count()
     own_file = F.when(F.col("file") == 0, F.col("id")).otherwise(F.col("file"))
     crowd = rows.groupBy("code").count().filter(F.col("count") > 2 * k).select("code")
-    in_crowd = rows.join(crowd, "code", "left_semi").select("id", "code", "file")
+    in_crowd = split_join(rows.select("id", "code", "file"), crowd, "code", "left_semi")
     by_file = Window.partitionBy("code", own_file).orderBy("id")
     by_code = Window.partitionBy("code").orderBy("id")
     chosen = in_crowd.withColumn("n", F.row_number().over(by_file)).filter(F.col("n") <= k).withColumn("m", F.row_number().over(by_code)).filter(F.col("m") <= 2 * k)
@@ -119,42 +179,40 @@ def neighbours(df: DataFrame, id_col: str, emb: str, file_col: str, k: int = K,
     if crowded:
         others = cut(in_crowd.join(chosen.select("id"), "id", "left_anti"), "p1-others")
         searched = rows.join(others.select("id"), "id", "left_anti")
-    lists = int(min(MAX_LISTS, max(1, total // LIST_ROWS)))
-    sample = fit_sample(rows, "id", min(FIT_ROWS, 20 * lists), total, dim)
-    mean = centre(sample, dim)
-    centroids = fit_lists(sample, lists, mean)
-    probes = min(PROBES, len(centroids))
-    expected = np.bincount(_nearest(unit((sample - mean).astype(np.float64)), centroids, probes).ravel(), minlength=len(centroids)) * (total / max(1, len(sample)))
-    parts = np.maximum(1, np.ceil(expected / PART_ROWS)).astype(np.int32)
-    shared = spark.sparkContext.broadcast((mean, centroids, parts))
+    lists = spark.sparkContext.broadcast(fit_two_levels(searched, total, dim))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean, centroids, parts = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = unit(decode(batch.column(2).to_pylist(), dim)) - mean
-            near = _nearest(x, centroids, probes)
-            lists_of = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1, dtype=np.int32) * probes), pa.array(near.ravel()))
-            n_of = pa.ListArray.from_arrays(lists_of.offsets, pa.array(parts[near].ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists_of, n_of], ["id", "file", "v", "lists", "parts"])
-
-    spread = (
-        searched.select("id", "file", "v")
-        .mapInArrow(assign, "id bigint, file bigint, v binary, lists array<int>, parts array<int>")
-        .select("id", "file", "v", F.explode(F.arrays_zip("lists", "parts")).alias("z"))
-        .select("id", "file", "v", F.col("z.lists").alias("list"), F.col("z.parts").alias("parts"))
-        .withColumn("home", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("list", "part", "id", "file", "v", (F.col("home") == F.col("part")).alias("target"))
-    )
+            near = lists.value.nearest(unit(decode(batch.column(2).to_pylist(), dim)), PROBES)
+            offsets = np.r_[0, np.cumsum((near >= 0).sum(1))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(near[near >= 0]))], ["id", "file", "v", "lists"])
+
+    assigned = searched.select("id", "file", "v").mapInArrow(assign, "id bigint, file bigint, v binary, lists array<int>")
+    # the lists' true lengths, at most MAX_LISTS numbers; only longer ones than a tile are named
+    lengths = assigned.select(F.explode("lists").alias("list")).groupBy("list").count().filter(F.col("count") > PART_ROWS)
+    tiled = {r[0]: -(-r[1] // PART_ROWS) for r in lengths.collect()}
+    spread = assigned.select("id", "file", "v", F.explode("lists").alias("list"))
+    once = lambda df: df.select("list", F.lit(0).alias("q"), F.lit(0).alias("t"), "id", "file", "v", F.lit(True).alias("query"), F.lit(True).alias("target"))
+    if not tiled:
+        spread = once(spread)
+    else:
+        parts = spark.createDataFrame(sorted(tiled.items()), "list int, parts int")
+        spread = spread.join(F.broadcast(parts), "list", "left")
+        home = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        tile = lambda q, t: F.struct(q.alias("q"), t.alias("t"), (q == F.col("home")).alias("query"), (t == F.col("home")).alias("target"))
+        others_of = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("home"))
+        tiles = F.concat(F.array(tile(F.col("home"), F.col("home"))), F.transform(others_of, lambda p: tile(F.col("home"), p)), F.transform(others_of, lambda p: tile(p, F.col("home"))))
+        long = spread.filter("parts is not null").withColumn("home", home).select("list", "id", "file", "v", F.explode(tiles).alias("z"))
+        spread = once(spread.filter("parts is null")).unionByName(long.select("list", "z.q", "z.t", "id", "file", "v", "z.query", "z.target"))
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         ids = group["id"].to_numpy()
-        i, j, cos = scan(ids, group["file"].to_numpy(), decode(group["v"], dim), np.arange(len(ids)), np.flatnonzero(group["target"].to_numpy()), k, least)
+        i, j, cos = scan(ids, group["file"].to_numpy(), decode(group["v"], dim), np.flatnonzero(group["query"].to_numpy()), np.flatnonzero(group["target"].to_numpy()), k, least)
         return pd.DataFrame({"a": ids[i], "b": ids[j], "cos": cos})
 
-    partial = spread.groupBy("list", "part").applyInPandas(search, "a bigint, b bigint, cos double")
+    partial = spread.groupBy("list", "q", "t").applyInPandas(search, "a bigint, b bigint, cos double")
     best = (
         partial.groupBy("a")
         .agg(F.slice(F.array_sort(F.collect_set(F.struct((-F.col("cos")).alias("far"), F.col("b").alias("b")))), 1, k).alias("best"))

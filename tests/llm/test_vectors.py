@@ -99,6 +99,34 @@ def test_hot_group_of_copies(spark, one_file):
     assert len(want) <= 3 * 300
 
 
+def test_long_lists_in_tiles(spark, monkeypatch):
+    """A list above a tile's length: every query still meets every target of the list, once."""
+    monkeypatch.setattr(similar, "PART_ROWS", 37)
+    v = clustered(180, 8)
+    rows = [(i, f"f{i // 2}" if i % 5 else None, v[i]) for i in range(180)]
+    assert found(spark, rows) == brute_neighbours(rows, 3, 0.86)
+
+
+def test_near_copies_keep_their_own_neighbours(spark):
+    """A tenth of the rows are near-copies of one row, alike to 0.999 and in one int8 code: each has its own list."""
+    rng = np.random.default_rng(12)
+    v = clustered(600, 13)
+    for i in range(0, 600, 10):
+        v[i] = v[0] + 0.003 * rng.standard_normal(DIM)
+    rows = [(i, f"f{i}", v[i]) for i in range(600)]
+    want, got = brute_neighbours(rows, 3, 0.86), found(spark, rows)
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_two_levels_hold_every_row(spark):
+    v = clustered(2000, 14)
+    prepared = prepare(frame(spark, [(i, None, v[i]) for i in range(2000)]), "emb", DIM)
+    lists = similar.fit_two_levels(prepared, 2000, DIM)
+    near = lists.nearest(unit(decode([r.v for r in prepared.select("v").collect()], DIM)), 3)
+    assert len(lists.lists) == lists.starts[-1] and (near >= 0).all() and near.max() < len(lists.lists)
+    assert all(len(set(r)) == 3 for r in near.tolist())
+
+
 def judged(rows, least=0.98):
     """The rule of problem 2, row by row."""
     rows = sorted((r for r in rows if r[3] is not None), key=lambda r: (r[0], r[1]))
