@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,15 @@ from gyral.llm.tokens import load_ranks
 #: The fixed vocabulary, a parameter of fit(); pieces up to LONGEST bytes take part.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 LONGEST = 10
-#: Labelled texts per language at most, chosen by a hash, and their longest length, from which the model is fitted.
-FIT_TEXTS, FIT_CHARS, FIT_ROUNDS = 200, 4_000, 3
+#: Labelled texts per language at most, chosen by a hash, and their longest length, from which the model is fitted; bytes of the
+#: parts in which long sentences are fitted; one text in HELD_OUT is kept back to calibrate the confidence.
+FIT_TEXTS, FIT_CHARS, FIT_ROUNDS, FIT_BYTES, HELD_OUT = 200, 4_000, 3, 240, 5
+#: Shares of a text's evidence among which calibration chooses, and the share of labels it takes for wrong.
+SHARES, WRONG_LABELS = tuple(0.02 * 1.25**i for i in range(18)), 0.1
+#: Letter runs longer than this are no words.
+LONGEST_WORD = 40
+#: Sentences, and their scores, that a worker remembers: speed only depends on it.
+REMEMBERED = 65_536
 #: Letter runs a spaced sentence has at least, ideographs an unspaced one has at least.
 FEWEST_WORDS, FEWEST_IDEOGRAPHS = 4, 6
 #: Sentences that make a text speak a language.
@@ -30,6 +38,7 @@ _END = re.compile(r"(?<=[.!?])(?:[^\w\s]|[µªº²³¹¼½¾])*\s+|(?<=[。！
 _CODED = re.compile(r"[\w!-/:-@\[-`{-~]*[0-9][\w!-/:-@\[-`{-~]*", re.ASCII)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _IDEOGRAPH = re.compile(r"[㐀-鿿豈-﫿]")
+_RUN = re.compile(r"[^\W\d_]{%d,}" % (LONGEST_WORD + 1))
 _OTHER = re.compile(r"[^\w'’]+|[\d_]+")
 
 
@@ -53,20 +62,34 @@ def repair(text: str) -> str:
     return _WRONG.sub(back, text)
 
 
+@lru_cache(REMEMBERED)
+def _plain_form(part: str) -> tuple[bool, str]:
+    """Whether a line or sentence is a full sentence, and its plain form: letters, without codes, ids and over-long runs."""
+    bare = _CODED.sub(" ", part)
+    letters = _WORD.findall(bare)
+    if letters and max(map(len, letters)) > LONGEST_WORD:
+        bare = _RUN.sub(" ", bare)
+        letters = _WORD.findall(bare)
+    full = len(letters) >= FEWEST_WORDS or len(_IDEOGRAPH.findall(bare)) >= FEWEST_IDEOGRAPHS
+    return full, " " + _OTHER.sub(" ", unicodedata.normalize("NFC", bare).lower()).strip()
+
+
 def segments(text: str | None) -> list[tuple[str, str]]:
     """(sentence, its plain form) of each full sentence; ids, numbers, paths, code, records and quoted words are none."""
     out = []
     for part in _END.split(_QUOTED.sub(" ", _MARKUP.sub("", repair(text)))) if text else ():
         part = part.strip(" \t>|*#-")
-        bare = _CODED.sub(" ", part)
-        wide = len(_IDEOGRAPH.findall(bare))
-        letters = _WORD.findall(bare)
-        if wide < FEWEST_IDEOGRAPHS and (len(letters) < FEWEST_WORDS or max(map(len, letters)) > 40):
-            continue
-        out.append((part, " " + _OTHER.sub(" ", unicodedata.normalize("NFC", bare).lower()).strip()))
+        full, plain = _plain_form(part)
+        if full:
+            out.append((part, plain))
     return out
 
 
+def whole(text: str) -> str:
+    """The plain form of a text that has no full sentence: all its letters; blank if there are none."""
+    return " ".join(x for x in (_plain_form(p)[1].strip() for p in _END.split(_MARKUP.sub("", repair(text)))) if x)
+
+
 def bare_letters(text: str) -> str:
     """Without accents."""
     return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c)))
@@ -115,6 +138,8 @@ class Model:
 
     def __init__(self, languages: list[str], pieces: list[bytes], p: np.ndarray) -> None:
         self.languages, self.pieces, self.p = languages, Pieces(pieces), np.vstack([p, np.zeros((1, p.shape[1]))])
+        self.share = 1.0
+        self.known: dict[bytes, np.ndarray] = {}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         """Log-probability of each text in each language: the forward algorithm, summed over all segmentations."""
@@ -128,6 +153,30 @@ class Model:
             start += size
         return out
 
+    def confidences(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The likeliest language of each text and its calibrated probability; scores of texts seen before are remembered."""
+        new = [t for t in dict.fromkeys(texts) if t not in self.known]
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = list(dict.fromkeys(texts))
+        self.known.update(zip(new, self.scores(new)))
+        ll = np.array([self.known[t] for t in texts]).reshape(len(texts), len(self.languages))
+        part = np.exp(self.share * (ll - ll.max(1, keepdims=True)))
+        return ll.argmax(1), part.max(1) / part.sum(1)
+
+    def calibrate(self, texts: list[tuple[str, bytes]]) -> None:
+        """Sets the share of a text's evidence that counts, so that (label, text) held out from the fit are likeliest.
+
+        Pieces of one sentence are not independent, so that less than all of it counts; wrong labels lower it further.
+        """
+        if not texts:
+            return
+        number = {x: i for i, x in enumerate(self.languages)}
+        ll, own = self.scores([t for _, t in texts]), np.array([number[x] for x, _ in texts])
+        ll = ll - ll.max(1, keepdims=True)
+        fits = lambda share: np.log((1 - WRONG_LABELS) * np.exp(share * ll[np.arange(len(own)), own]) / np.exp(share * ll).sum(1) + WRONG_LABELS / len(number)).sum()
+        self.share = max(SHARES, key=fits)
+
     def _forward(self, texts: list[bytes]) -> np.ndarray:
         lengths, found = self.pieces.find(texts)
         n, width, k = len(texts), int(lengths.max(initial=0)), len(self.languages)
@@ -157,15 +206,21 @@ def fit(texts: list[tuple[str, str]], languages: list[str], vocabulary: str = VO
     """texts (language, text) with some wrong labels -> Model.
 
     Rounds of expectation maximisation: expected piece counts over all segmentations, by forward and backward sums,
-    then sentences move to the language that scores best, the labels they were seen under counting as a prior only.
+    then sentences move to the language that scores best, the labels they were seen under counting as a prior only. One text
+    in HELD_OUT takes no part; on its sentences the confidence is calibrated.
     """
     number = {x: i for i, x in enumerate(languages)}
-    votes: dict[str, np.ndarray] = {}
-    for label, text in texts:
+    votes: dict[bytes, np.ndarray] = {}
+    held: list[tuple[str, bytes]] = []
+    for n, (label, text) in enumerate(texts):
         for _, plain in segments(text):
+            if n % HELD_OUT == HELD_OUT - 1:
+                held.append((label, plain.encode("utf-8", "replace")))
+                continue
             for form in {plain, bare_letters(plain)}:
-                votes.setdefault(form, np.zeros(len(languages)))[number[label]] += 1
-    forms = [form.encode()[:240] for form in votes]
+                for part in _fitted_parts(form.encode("utf-8", "replace")):
+                    votes.setdefault(part, np.zeros(len(languages)))[number[label]] += 1
+    forms = list(votes)
     said = np.array(list(votes.values())).reshape(len(forms), len(languages))
     weight = np.minimum(said.sum(1), 20)
     lead = np.log((said + 0.3) / (said + 0.3).sum(1, keepdims=True))
@@ -192,9 +247,24 @@ def fit(texts: list[tuple[str, str]], languages: list[str], vocabulary: str = VO
         model = Model(languages, [x for x, u in zip(pieces, used) if u], p[:-1][used])
         if len(forms) and turn < rounds - 1:
             now = (model.scores(forms) + lead).argmax(1)
+    model.calibrate(held)
     return model
 
 
+def _fitted_parts(form: bytes) -> list[bytes]:
+    """A sentence in parts of at most FIT_BYTES, cut after a space where there is one and never within a character."""
+    parts = []
+    while len(form) > FIT_BYTES:
+        at = form.rfind(b" ", 1, FIT_BYTES)
+        if at < 1:
+            at = FIT_BYTES
+            while at > 1 and form[at] & 0xC0 == 0x80:
+                at -= 1
+        parts.append(form[:at])
+        form = form[at:]
+    return [*parts, form]
+
+
 def _probabilities(counts: np.ndarray, used: np.ndarray) -> np.ndarray:
     """Counts per language, smoothed by the counts of all languages and a little of every used piece."""
     every = counts.sum(1) + 0.5 * used
@@ -242,44 +312,51 @@ def stated(label: Column, languages: DataFrame) -> tuple[Column, list[str]]:
 
 
 def fitted(docs: DataFrame, languages: DataFrame, vocabulary: str = VOCABULARY) -> Model:
-    """The model of docs(id, text, lang): from at most FIT_TEXTS labelled texts of each language, chosen by a hash."""
+    """The model of docs(id, text, lang): from at most FIT_TEXTS labelled texts of each language, of FIT_CHARS at most, chosen by a hash."""
     code, codes = stated(F.col("lang"), languages)
-    some = docs.withColumn("code", code).filter(F.col("code").isNotNull() & (F.length("text") <= FIT_CHARS) & (F.length("text") > 20))
+    some = docs.withColumn("code", code).filter(F.col("code").isNotNull() & (F.length("text") <= FIT_CHARS))
     w = Window.partitionBy("code").orderBy(F.xxhash64(F.lit(8), "id"), "id")
     sample = some.select("code", "id", "text").withColumn("n", F.row_number().over(w)).filter(F.col("n") <= FIT_TEXTS).select("code", "text").collect()
     return fit([(r[0], r[1]) for r in sample], codes, vocabulary)
 
 
 def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(id, text) -> (id, segment, text, lang, confidence), one row per full sentence, numbered from 0.
+    """docs(id, text) -> (id, segment, text, lang, confidence, sentence): one row per full sentence, numbered from 0.
 
-    confidence: the language's share of the likelihood, as if a fifth of the text had been seen. Null, empty and blank texts
-    and texts without sentences have no rows; whole texts are read, however long; each distinct sentence of a batch
-    is scored once. One narrow pass over the table.
+    A text without a full sentence is one segment with sentence = false, judged by all its letters; without letters its
+    language is null and the confidence 0. Null and empty texts have no rows. confidence: the language's probability by
+    the share of the evidence that calibration has found to count. Whole texts are read, however long. One narrow pass.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared.value
+        names = np.array([*model.languages, None], object)
         for batch in batches:
-            rows = [(i, n, s, plain) for i, text in zip(batch["id"], batch["text"]) for n, (s, plain) in enumerate(segments(text))]
+            rows = []
+            for i, text in zip(batch["id"], batch["text"]):
+                found = segments(text)
+                rows += [(i, n, s, plain, True) for n, (s, plain) in enumerate(found)] if found else [(i, 0, text, whole(text), False)] if text else []
             if not rows:
                 continue
-            plain = [r[3] for r in rows]
-            distinct = {x: j for j, x in enumerate(dict.fromkeys(plain))}
-            ll = model.scores([x.encode("utf-8", "replace") for x in distinct])
-            part = np.exp(0.2 * (ll - ll.max(1, keepdims=True)))
-            best, sure = ll.argmax(1), part.max(1) / part.sum(1)
-            at = np.array([distinct[x] for x in plain])
-            yield pd.DataFrame({"id": [r[0] for r in rows], "segment": np.array([r[1] for r in rows], np.int32), "text": [r[2] for r in rows], "lang": np.array(model.languages, object)[best[at]], "confidence": sure[at].round(6)})
+            ids, numbers, texts, plain, full = zip(*rows)
+            best, sure = model.confidences([x.encode("utf-8", "replace") for x in plain])
+            none = np.array([not x.strip() for x in plain])
+            yield pd.DataFrame({"id": ids, "segment": np.array(numbers, np.int32), "text": texts, "lang": names[np.where(none, len(names) - 1, best)], "confidence": np.where(none, 0, sure).round(6), "sentence": full})
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").filter(F.col("text").isNotNull()).mapInPandas(run, f"id {kind}, segment int, text string, lang string, confidence double")
+    return docs.select("id", "text").filter(F.col("text").isNotNull()).mapInPandas(run, f"id {kind}, segment int, text string, lang string, confidence double, sentence boolean")
 
 
 def spoken(found: DataFrame, sentences: int = SENTENCES) -> DataFrame:
     """(id, lang, sentences, confidence): each language of which a text holds at least `sentences` full sentences."""
-    return found.groupBy("id", "lang").agg(F.count("*").alias("sentences"), F.round(F.avg("confidence"), 6).alias("confidence")).filter(F.col("sentences") >= sentences)
+    return languages_of(found, sentences).filter("spoken").drop("spoken")
+
+
+def languages_of(found: DataFrame, sentences: int = SENTENCES) -> DataFrame:
+    """(id, lang, sentences, confidence, spoken): every language found in a text, with its full sentences; spoken: at least `sentences` of them."""
+    n = F.count_if("sentence")
+    return found.groupBy("id", "lang").agg(n.alias("sentences"), F.round(F.avg("confidence"), 6).alias("confidence"), (n >= sentences).alias("spoken"))
 
 
 def unstated(docs: DataFrame, found: DataFrame, languages: DataFrame) -> DataFrame:

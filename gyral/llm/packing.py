@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyral.session import cut
@@ -77,3 +77,23 @@ def fill_report(packed: DataFrame, capacity: int = 1024) -> DataFrame:
         F.count("*").alias("n_containers"), F.ceil(F.sum("size") / capacity).alias("n_least"), F.max("size").alias("largest"),
         F.round(F.sum("size") / (F.count("*") * capacity), 6).alias("fill"),
     )
+
+
+def pack_check(packed: DataFrame, items: DataFrame, capacity: int = 1024, fill: float = 0.99) -> DataFrame:
+    """packed, items(id, size), ids unique -> per item: every_token_once, whole (no more pieces than needed), fits, full.
+
+    fits: none of the item's containers holds more than `capacity`, a gap or two pieces in one place; full: all containers
+    together, less one, are filled to at least `fill`.
+    """
+    pieces = packed.filter("size > 0")
+    w = Window.partitionBy("container").orderBy("offset")
+    laid = pieces.withColumn("end", F.lag(F.col("offset") + F.col("size"), 1, 0).over(w)).groupBy("container").agg((F.bool_and(F.col("end") == F.col("offset")) & (F.sum("size") <= capacity)).alias("fits"), F.sum("size").alias("used"))
+    total = laid.agg((F.sum("used") >= F.lit(fill) * capacity * (F.count("*") - 1)).alias("full"))
+    each = packed.join(laid.select("container", "fits"), "container", "left").groupBy("id").agg(
+        F.sum("size").alias("got"), F.count_if(F.col("size") > 0).alias("pieces"), F.bool_and(F.coalesce("fits", F.lit(True))).alias("fits"), (F.sum(F.when(F.col("size") > 0, F.col("first"))).alias("firsts"))
+    )
+    n = F.ceil(F.col("want") / capacity)
+    wanted = items.select("id", F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("bigint").alias("want"))
+    both = wanted.join(each, "id", "left").crossJoin(F.broadcast(total))
+    once = (F.col("got") == F.col("want")) & (F.coalesce("firsts", F.lit(0)) == F.lit(capacity) * n * (n - 1) / 2)
+    return both.select("id", F.coalesce(once, F.lit(False)).alias("every_token_once"), F.coalesce(F.col("pieces") == n, F.lit(False)).alias("whole"), F.coalesce("fits", F.lit(False)).alias("fits"), F.coalesce("full", F.lit(True)).alias("full"))

@@ -59,12 +59,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.first_of_group(splits.related(rows, links)).withColumnRenamed("id", "manifest_id")
 
 
-def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, links = _named(spark, sf_dir)
     variant = F.when(F.lower("names").rlike("[^a-z0-9]m[0-9]"), "decoy").when(F.col("names").rlike("[^0-9][0-9]{4}([^0-9]|$)"), "mask").otherwise("whole")
     labels = rows.select("id", F.concat_ws("/", F.coalesce(cohort_of(F.col("subject")), F.lit("unreadable")), variant).alias("label"))
-    groups = splits.related(rows, links).join(labels, "id")
-    return splits.stratified(groups, spark.read.parquet(f"{sf_dir}/split_plan.parquet")).select(F.col("id").alias("manifest_id"), "split_name")
+    return splits.related(rows, links).join(labels, "id")
+
+
+def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splits.stratified(_groups(spark, sf_dir), spark.read.parquet(f"{sf_dir}/split_plan.parquet")).select(F.col("id").alias("manifest_id"), "split_name")
+
+
+def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p3_splits must hold: no component in two splits, rows and labels near their targets."""
+    groups, plan = cut(_groups(spark, sf_dir), "p3-groups"), spark.read.parquet(f"{sf_dir}/split_plan.parquet")
+    return splits.split_check(groups, splits.stratified(groups, plan), plan)
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +102,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir))
 
 
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What p7_containers must hold for each document: every token once, in one piece unless it is longer than a container."""
+    packed = cut(_packed(spark, sf_dir), "p7-packed")
+    return packing.pack_check(packed, cut(p6_ids(spark, sf_dir).select(F.col("doc_id").alias("id"), F.size("ids").alias("size")), "p7-sizes")).withColumnRenamed("id", "doc_id")
+
+
 def _spoken(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = _documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "lang")
     languages = spark.read.parquet(f"{sf_dir}/languages.parquet")
@@ -104,11 +119,17 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _spoken(spark, sf_dir)[1].select(F.col("id").alias("doc_id"), "segment", "text", "lang", "confidence")
+    return _spoken(spark, sf_dir)[1].select(F.col("id").alias("doc_id"), "segment", "text", "lang", "confidence", "sentence")
 
 
 def p8_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.spoken(_spoken(spark, sf_dir)[1]).withColumnRenamed("id", "doc_id")
+    return language.languages_of(_spoken(spark, sf_dir)[1]).withColumnRenamed("id", "doc_id")
+
+
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts have a language row, and that all their segments' confidences are probabilities."""
+    each = _spoken(spark, sf_dir)[1].groupBy("id").agg(F.bool_and(F.col("confidence").between(0, 1) & (F.col("lang").isNotNull() | (F.col("confidence") == 0))).alias("sound"))
+    return each.select(F.col("id").alias("doc_id"), "sound")
 
 
 _FILE = r"nullif(lower(trim(regexp_extract(replace(regexp_replace({0}, '[\s/\\]+$', ''), '\', '/'), '[^/]*$'), e' \t\n\r')), '')"
@@ -158,13 +179,16 @@ SQL = {
   run AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS rejected UNION ALL
     SELECT q.i, CASE WHEN list_has_any(run.kept, q.before) THEN run.kept ELSE list_append(run.kept, q.n) END, CASE WHEN list_has_any(run.kept, q.before) THEN q.donor_id END FROM run JOIN q ON q.i = run.i + 1)
   SELECT rejected AS donor_id FROM run WHERE rejected IS NOT NULL""",
+    "p3_check": "SELECT split_name, true AS rows_near, true AS labels_near, CAST(0 AS BIGINT) AS torn FROM split_plan",
+    "p7_check": "SELECT doc_id, true AS every_token_once, true AS whole, true AS fits, true AS full FROM documents",
+    "p8_check": "SELECT doc_id, true AS sound FROM documents WHERE text <> ''",
     # the encoder is held to the text itself: what it decodes to
     "p6_decoded": "SELECT doc_id, nullif(text, '') AS text FROM documents",
 }
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p4_found, p4_report, p6_ids, p6_decoded, p7_containers, p7_fill, p8_found, p8_segments, p8_languages)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p3_check, p4_found, p4_report, p6_ids, p6_decoded, p7_containers, p7_fill, p7_check, p8_found, p8_segments, p8_languages, p8_check)}
 
 
 def oracle_sql() -> dict[str, str]:

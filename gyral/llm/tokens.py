@@ -16,6 +16,8 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: A token is written as the character FIRST + id, so that a word is a string and a merge a replacement in it.
 FIRST = 0x100
 BUCKETS = 16_384
+#: Words of more bytes are cut, before they are folded, where no piece of the vocabulary can reach across.
+UNCUT = 48
 #: Most frequent words that are looked up instead of folded anew, and their longest length: only speed depends on it.
 DICTIONARY, LONGEST = 32_768, 48
 
@@ -65,12 +67,33 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array().cast("array<string>"))
 
 
+@cache
+def _joined(path: str) -> list[list[bool]]:
+    """[a][b]: whether some piece holds byte b right after byte a."""
+    table = [[False] * 256 for _ in range(256)]
+    for piece in load_ranks(path)[0]:
+        for a, b in zip(piece, piece[1:]):
+            table[a][b] = True
+    return table
+
+
+def _parts(raw: Column, path: str) -> Column:
+    """A word, a character a byte, cut wherever no piece holds the bytes on both sides: no merge can reach across."""
+    joined = _literal(_joined(path), "array<array<boolean>>")
+    after = lambda c, n: F.when(F.element_at(F.element_at(joined, F.ascii(c) + 1), F.ascii(n) + 1), c).otherwise(F.concat(c, F.lit(chr(FIRST))))
+    marked = _let(F.split(raw, ""), lambda c: F.concat(F.array_join(F.zip_with(F.slice(c, 1, F.size(c) - 1), F.slice(c, 2, F.size(c) - 1), after), ""), F.element_at(c, -1)))
+    return F.when(F.length(raw) > UNCUT, F.split(marked, chr(FIRST))).otherwise(F.array(raw))
+
+
 def fold_merges(word: Column, path: str = RANKS) -> Column:
-    """ids of one word: its bytes folded by the lowest-ranked merge that is left, all its places at once, until none is."""
+    """ids of one word: its bytes folded by the lowest-ranked merge that is left, all its places at once, until none is.
+
+    A step looks at all that is left of a part, and a part takes as many steps as it has different merges: long words are
+    therefore cut first where the vocabulary allows, every few bytes in words of random letters.
+    """
     letters, buckets, pairs = _tables(path)
     ranks, parts = _literal(buckets, "array<map<string,string>>"), _literal(pairs, "array<string>")
     base = len(load_ranks(path)[0]) - len(pairs)
-    start = F.translate(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "".join(map(chr, range(256))), letters)
 
     def rank(a: Column, b: Column) -> Column:
         bucket = F.element_at(ranks, (F.pmod(F.ascii(a) * 31 + F.ascii(b), F.lit(BUCKETS)) + 1).cast("int"))
@@ -87,15 +110,24 @@ def fold_merges(word: Column, path: str = RANKS) -> Column:
         )
         return F.when(state["live"] & (F.length(now) > 1), merged).otherwise(F.struct(now.alias("w"), F.lit(False).alias("live")))
 
-    done = _let(start, lambda w: F.when(F.length(w) < 2, w).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(w) - 1), F.struct(w.alias("w"), F.lit(True).alias("live")), step)["w"]))
-    return F.transform(F.split(done, ""), lambda c: F.ascii(c) - FIRST)
+    def fold(part: Column) -> Column:
+        start = F.translate(part, "".join(map(chr, range(256))), letters)
+        done = _let(start, lambda w: F.when(F.length(w) < 2, w).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(w) - 1), F.struct(w.alias("w"), F.lit(True).alias("live")), step)["w"]))
+        return F.transform(F.split(done, ""), lambda c: F.ascii(c) - FIRST)
+
+    return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), lambda raw: F.flatten(F.transform(_parts(raw, path), fold)))
+
+
+def _spot(word: Column) -> Column:
+    """The bucket of a word in the dictionary."""
+    return F.pmod(F.hash(word), F.lit(BUCKETS))
 
 
 def dictionary(docs: DataFrame, text: str, path: str = RANKS) -> list:
-    """(word, ids) of the most frequent short words, counted over all texts; at most DICTIONARY."""
+    """(spot, word, ids) of the most frequent short words, counted over all texts; at most DICTIONARY."""
     each = docs.select(F.explode(words(F.col(text))).alias("word")).filter(F.length("word") <= LONGEST)
     often = each.groupBy("word").count().filter("count > 1").orderBy(F.desc("count"), "word").limit(DICTIONARY)
-    return often.repartition(docs.sparkSession.sparkContext.defaultParallelism).select("word", fold_merges(F.col("word"), path).alias("ids")).collect()
+    return often.repartition(docs.sparkSession.sparkContext.defaultParallelism).select(_spot(F.col("word")).alias("spot"), "word", fold_merges(F.col("word"), path).alias("ids")).collect()
 
 
 def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = RANKS) -> DataFrame:
@@ -106,24 +138,16 @@ def encode(docs: DataFrame, text: str = "text", out: str = "ids", path: str = RA
     shuffled, and the length of a text bounds a task's work. `out` replaces a column of that name.
     """
     buckets: list[dict] = [{} for _ in range(BUCKETS)]
-    for word, ids in dictionary(docs, text, path):
-        buckets[_spot(word)][word] = ids
+    for spot, word, ids in dictionary(docs, text, path):
+        buckets[spot][word] = ids
     known = _literal(buckets, "array<map<string,array<int>>>")
 
     def ids_of(word: Column) -> Column:
-        spot = F.pmod(F.ascii(word) * 7 + F.ascii(F.substring(word, 2, 1)) * 127 + F.ascii(F.substring(word, -2, 1)) * 31 + F.ascii(F.substring(word, -1, 1)) + F.length(word) * 8191, F.lit(BUCKETS))
-        return F.coalesce(F.try_element_at(F.element_at(known, (spot + 1).cast("int")), word), fold_merges(word, path))
+        return F.coalesce(F.try_element_at(F.element_at(known, _spot(word) + 1), word), fold_merges(word, path))
 
     return docs.withColumn(out, F.flatten(F.transform(words(F.col(text)), ids_of)))
 
 
-def _spot(word: str) -> int:
-    """The bucket of a word; the same sum as in encode()."""
-    second, before = word[1:2], word[-2:-1] if len(word) > 1 else word[:1]
-    code = lambda c: ord(c) if c else 0
-    return (ord(word[0]) * 7 + code(second) * 127 + code(before) * 31 + ord(word[-1]) + len(word) * 8191) % BUCKETS
-
-
 def decode_ids(ids: Column, path: str = RANKS) -> Column:
     """The text of a list of ids: its binary pieces in a row, read as UTF-8; null for null."""
     pieces = _literal([p.hex() for p in load_ranks(path)[0]], "array<string>")

@@ -206,14 +206,16 @@ def test_detect(spark, model):
     docs = spark.createDataFrame(
         [
             (1, " ".join(s["de"][:2]), "en"), (2, " ".join(s["en"][:2]), "EN"), (3, " ".join(s["en"][:2] + s["pt"][1:3]), "eng"), (4, s["de"][0], None), (5, None, "en"), (6, "", None),
-            (7, "".join(s["zh"][:2]), "zz"), (8, " ".join(s["de"][1:3]).upper(), None), (9, " ".join([s["de"][2]] * 2).encode().decode("latin-1"), "en"), (10, " ".join(s["de"] * 300), "xx"), (11, "id 1234 /a/b 0.5", None),
+            (7, "".join(s["zh"][:2]), "zz"), (8, " ".join(s["de"][1:3]).upper(), None), (9, " ".join([s["de"][2]] * 2).encode().decode("latin-1"), "en"), (10, " ".join(s["de"] * 300), "xx"), (11, "id 1234 /a/b 0.5", None), (12, " ".join(s["de"][0].split()[:3]), None), (13, " 12\n", None),
         ],
         "id bigint, text string, lang string",
     )
     found = language.detect(docs, model)
     got = {(r.id, r.lang) for r in language.unstated(docs, found, languages(spark)).collect()}
     assert got == {(1, "de"), (3, "pt"), (7, "zh"), (8, "de"), (9, "de"), (10, "de")}
-    assert found.filter("confidence < 0.25 or confidence > 1").count() == 0
+    assert found.filter("lang is not null and (confidence < 0.25 or confidence > 1)").count() == 0
+    rest = {r.id: (r.lang, r.confidence) for r in found.filter("not sentence").collect()}
+    assert set(rest) == {11, 12, 13} and rest[12][0] == "de" and rest[13] == (None, 0.0)
     assert found.filter("id = 10").count() == 1200
     assert language.detect(docs.filter("false"), model).count() == 0
 
@@ -230,3 +232,48 @@ def test_held_out_accuracy(spark, sf):
     assert len(right) > 200 and (right > 0.95).mean() > 0.7  # about a sixth of the labels is wrong by design
     assert ((right > 0.97) | (right < 0.03)).mean() > 0.85  # and a text agrees with itself
     assert language.fitted(docs.filter("false"), langs).scores([b" x"]).shape == (1, 11)
+
+
+def test_confidence_is_calibrated(spark, sf):
+    """On sentences cut to their first words, where mistakes happen, the mean confidence is about the share that is right."""
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select(F.col("doc_id").alias("id"), "text", "lang")
+    m = language.fitted(docs, spark.read.parquet(f"{sf}/languages.parquet"))
+    plain = sorted({p for r in docs.filter("text is not null").collect() for _, p in language.segments(r.text) if p.isascii() is False or len(p) > 40})
+    truth = m.confidences([p.encode() for p in plain])[0]
+    short = [" ".join(p.split(" ")[:3])[:14].encode() for p in plain]
+    best, sure = m.confidences(short)
+    assert abs((best == truth).mean() - sure.mean()) < 0.2
+    assert (best == truth)[sure > 0.9].mean() > (best == truth)[sure < 0.5].mean() + 0.1
+    assert m.confidences([b" x"])[1][0] < 0.9
+
+
+def test_long_sentences_are_fitted_whole():
+    long = (" wort" * 200).encode()
+    assert b"".join(language._fitted_parts(long)) == long and max(map(len, language._fitted_parts(long))) <= language.FIT_BYTES
+    wide = "脑" * 300
+    parts = language._fitted_parts(wide.encode())
+    assert b"".join(parts).decode() == wide and all(p.decode() for p in parts)
+
+
+def test_shared_out_is_one_after_the_other():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        need = {s: (float(rng.integers(0, 60)), float(rng.integers(0, 90))) for s in "abc"}
+        size, rows, many = int(rng.integers(1, 5)), int(rng.integers(5, 9)), int(rng.integers(1, 40))
+        one = dict.fromkeys(need, 0)
+        for _ in range(many):
+            one[max(need, key=lambda s: (need[s][0] - one[s] * size, need[s][1] - one[s] * rows))] += 1
+        got = splits.shared_out(many, size, rows, need)
+        assert sum(got.values()) == many
+        level = lambda t: sorted(need[s][0] - t[s] * size for s in need)
+        assert level(got) == pytest.approx(level(one))
+
+
+def test_long_words_are_cut_where_no_piece_reaches(spark, reference):
+    import string
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(a) for _ in range(n)) for a, n in ((string.ascii_lowercase, 200_000), (string.ascii_letters, 3000), ("ab", 400), ("é脑ß", 500), ("x", 5000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.ids for r in tokens.encode(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == reference(texts)
