@@ -256,7 +256,7 @@ class DedupHistory:
             doubtful = pairs.filter(~F.col("sure")).select("lo", "hi")
             vectors = table.select("id", "v") if old is None else table.select("id", "v").unionByName(old.select("id", "v"))
             few = pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-            near = verified(doubtful, vectors, "id", least, self.dim, few)
+            near = verified(doubtful, vectors, table, "id", least, self.dim, few)
             edges = cut(near.unionByName(pairs.filter("sure").select("lo", "hi")).distinct(), "p2-edges")
             late = None if late is None else cut(late, "p2-late")
             now, open_ = resolve(edges, late)

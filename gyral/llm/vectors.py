@@ -84,21 +84,23 @@ def centre(sample: np.ndarray, dim: int = DIM) -> np.ndarray:
     return sample.mean(0) if len(sample) else np.zeros(dim, np.float32)
 
 
-def verified(pairs: DataFrame, vectors: DataFrame, key: str, least: float, dim: int = DIM, few: bool = False) -> DataFrame:
-    """pairs(lo, hi) of keys whose exact cosine is at least `least`; vectors(key, v) has one row per key.
+def verified(pairs: DataFrame, first: DataFrame, second: DataFrame, key: str, least: float, dim: int = DIM, few: bool = False) -> DataFrame:
+    """pairs(lo, hi) whose exact cosine is at least `least`; first and second(key, v) hold the vectors of lo and of hi.
 
-    One pass over the vectors: each meets the pairs it is in, then the two sides of a pair meet. few: the pairs are known
+    One pass over each: a vector of `first` travels once for each of its pairs, one of `second` once. few: the pairs are known
     to be few enough to be sent to the vectors, which then stay where they are but for those of the pairs.
     """
-    side = lambda c: F.struct(F.col(c).alias(key), F.lit(c == "lo").alias("first"))
-    asked = pairs.select("lo", "hi", F.explode(F.array(side("lo"), side("hi"))).alias("s")).select("lo", "hi", f"s.{key}", "s.first")
-    got = vectors.select(key, "v").join(F.broadcast(asked) if few else asked, key)
-    both = got.groupBy("lo", "hi").agg(F.max(F.when(F.col("first"), F.col("v"))).alias("v_lo"), F.max(F.when(~F.col("first"), F.col("v"))).alias("v_hi"))
-    return alike(both.filter("v_lo is not null and v_hi is not null"), least, dim)
+    sent = F.broadcast if few else lambda df: df
+    lo = first.select(F.col(key).alias("lo"), F.col("v").alias("v_lo")).join(sent(pairs.select("lo", "hi")), "lo")
+    hi = second.select(F.col(key).alias("hi"), F.col("v").alias("v_hi")).join(sent(pairs.select("hi").distinct()), "hi", "left_semi")
+    return alike(lo.join(hi, "hi").select("lo", "hi", "v_lo", "v_hi"), least, dim)
 
 
-def alike(both: DataFrame, least: float, dim: int = DIM) -> DataFrame:
-    """The rows of both(..., v_lo, v_hi) whose vectors have at least that exact cosine, without the vectors."""
+def alike(both: DataFrame, least: float, dim: int = DIM, also=None) -> DataFrame:
+    """The rows of both(..., v_lo, v_hi) whose vectors have at least that exact cosine, without the vectors.
+
+    also(lo, hi), given the packed vectors of those that have, may sort out more.
+    """
     kept = [f for f in both.schema if f.name not in ("v_lo", "v_hi")]
     names, schema = [f.name for f in kept], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
@@ -106,9 +108,12 @@ def alike(both: DataFrame, least: float, dim: int = DIM) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (decode(batch.column(batch.schema.get_field_index(c)).to_pylist(), dim) for c in ("v_lo", "v_hi"))
-            cos = (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1))
-            keep = batch.take(pa.array(np.flatnonzero(cos >= least)))
+            lo, hi = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("v_lo", "v_hi"))
+            a, b = decode(lo, dim), decode(hi, dim)
+            at = np.flatnonzero((a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)) >= least)
+            if also is not None and len(at):
+                at = at[also([lo[i] for i in at], [hi[i] for i in at])]
+            keep = batch.take(pa.array(at, pa.int64()))
             yield pa.RecordBatch.from_arrays([keep.column(keep.schema.get_field_index(n)) for n in names], names)
 
     return both.mapInArrow(run, schema)
