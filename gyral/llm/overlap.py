@@ -17,12 +17,12 @@ from gyral.session import cut, discard
 
 #: A vector's shingles are {(place, letter)} of so many letters.
 SHINGLES = 96
-#: Minwise hashes per band, bands, and the exact Jaccard similarity of two shingle sets from which the cosine is taken.
+#: Minwise hashes per band, bands, and the least exact Jaccard similarity of two shingle sets.
 #: At cosine 0.98 (0.96 once the template is off) 60 % of the letters agree, a Jaccard similarity of 0.43 give or take 0.05;
 #: of such pairs 99.4 % share one of 80 bands of three, of strangers (a third of a letter in common on average) one in 10^5.
 BAND, BANDS, JACCARD = 3, 80, 0.2
 FIT = 16_384
-#: Up to so many candidate pairs send their vectors' keys to the vectors instead of shuffling these.
+#: Up to so many candidate pairs are sent to the vectors, which then stay where they are but for those of the pairs.
 BROADCAST_PAIRS = 500_000
 TRAIN, EVALUATION = "train", ("val", "official_val")
 
@@ -43,18 +43,24 @@ def bands(text: np.ndarray) -> np.ndarray:
 
 
 def shingle_table(rows: DataFrame, mean: np.ndarray, dim: int) -> DataFrame:
-    """rows(vector, v, train, eval) -> these, with `letters`, the shingle set in place order, and `keys`, the band keys."""
+    """rows(vector, v, train, eval) -> these, with `keys`, the band keys of the shingle set."""
     shared = rows.sparkSession.sparkContext.broadcast(mean)
-    names = ["vector", "v", "train", "eval", "letters", "keys"]
+    names = ["vector", "v", "train", "eval", "keys"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in (whole.slice(at, 4096) for at in range(0, whole.num_rows, 4096)):
                 text = letters(residuals(batch.column(1).to_pylist(), shared.value, dim), SHINGLES)
-                lists = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists(text.astype(np.int16)), lists(bands(text))], names)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32) * BANDS), pa.array(bands(text).ravel()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, keys], names)
 
-    return rows.select(*names[:4]).mapInArrow(run, "vector bigint, v binary, train boolean, eval boolean, letters array<smallint>, keys array<bigint>")
+    return rows.select(*names[:4]).mapInArrow(run, "vector bigint, v binary, train boolean, eval boolean, keys array<bigint>")
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact Jaccard similarity of the shingle sets of two (rows, SHINGLES) arrays of letters, row by row."""
+    same = (a == b).sum(1)
+    return same / (2 * SHINGLES - same)
 
 
 def similar_cases(cases: DataFrame, vectors: DataFrame, least: float = 0.98, dim: int = DIM) -> DataFrame:
@@ -66,28 +72,29 @@ def similar_cases(cases: DataFrame, vectors: DataFrame, least: float = 0.98, dim
     then the cosine of their own vectors. Band keys and cases with very many rows are spread over tasks.
     """
     there = cases.filter(F.col("case").isNotNull() & (F.col("train") | F.col("eval")))
-    valid = prepare(vectors.filter(F.col("case").isNotNull()).select("case", "emb"), "emb", dim).select("case", "v", F.xxhash64("v").alias("vector"))
-    valid = cut(split_join(valid, there, "case", "inner"), "p4-rows")
-    members = valid.select("case", "vector", "train", "eval").distinct()
+    valid = cut(prepare(vectors.filter(F.col("case").isNotNull()).select("case", "emb"), "emb", dim).select("case", "v", F.xxhash64("v").alias("vector")), "p4-rows")
+    members = cut(split_join(valid.select("case", "vector").distinct(), there, "case", "inner").select("case", "vector", "train", "eval"), "p4-members")
     total = valid.count()
     mean = centre(fit_sample(valid, "case", FIT, total, dim), dim)
-    units = valid.groupBy("vector").agg(F.first("v").alias("v"), F.max("train").alias("train"), F.max("eval").alias("eval"))
+    flags = members.groupBy("vector").agg(F.max("train").alias("train"), F.max("eval").alias("eval"))
+    units = valid.groupBy("vector").agg(F.first("v").alias("v")).join(flags, "vector")
     table = cut(shingle_table(units, mean, dim), "p4-shingles")
     side = lambda flag, name: table.filter(flag).select(F.col("vector").alias(name), F.posexplode("keys").alias("band", "key")).select(name, (F.col("key") + F.col("band")).alias("key"))
     met = cut(spread_join(side("eval", "lo"), side("train", "hi"), "key").filter("lo <> hi").select("lo", "hi").distinct(), "p4-candidates")
     few = met.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS
-    ids = met.select(F.explode(F.array("lo", "hi")).alias("vector")).distinct()
-    needed = table.join(F.broadcast(ids) if few else ids, "vector", "left_semi")
-    of = lambda c: needed.select(F.col("vector").alias(c), F.col("v").alias(f"v_{c}"), F.col("letters").alias(f"letters_{c}"))
-    both = F.aggregate(F.zip_with("letters_lo", "letters_hi", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    close = met.join(of("lo"), "lo").join(of("hi"), "hi").filter(both / (2 * SHINGLES - both) >= JACCARD).select("lo", "hi", "v_lo", "v_hi")
-    pairs = alike(close, least, dim).unionByName(table.filter("eval and train").select(F.col("vector").alias("lo"), F.col("vector").alias("hi")))
+    sent = F.broadcast if few else lambda df: df
+    of = lambda c: table.select(F.col("vector").alias(c), F.col("v").alias(f"v_{c}"))
+    lo, hi = of("lo").join(sent(met), "lo"), of("hi").join(sent(met.select("hi").distinct()), "hi", "left_semi")
+    shared = table.sparkSession.sparkContext.broadcast(mean)
+    shingles = lambda blobs: letters(residuals(blobs, shared.value, dim), SHINGLES)
+    close = alike(lo.join(hi, "hi").select("lo", "hi", "v_lo", "v_hi"), least, dim, lambda a, b: jaccard(shingles(a), shingles(b)) >= JACCARD)
+    pairs = close.unionByName(table.filter("eval and train").select(F.col("vector").alias("lo"), F.col("vector").alias("hi")))
     ev = members.filter("eval").select(F.col("vector").alias("lo"), F.col("case").alias("eval_case"))
     tr = members.filter("train").select(F.col("vector").alias("hi"), F.col("case").alias("train_case"))
     found = spread_join(spread_join(cut(pairs, "p4-pairs"), ev, "lo"), tr, "hi").select("eval_case", "train_case")
     same = there.filter("train and eval").select(F.col("case").alias("eval_case"), F.col("case").alias("train_case"))
     links = cut(found.union(same).distinct(), "p4-links")
-    discard(valid, table, met)
+    discard(valid, members, table, met)
     return links
 
 
