@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -78,6 +79,12 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Asks for the shuffle files and broadcasts of finished queries, which else stay until the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
     """Deletes the folder when the application ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
