@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gyral.llm.signs import kept_letters, letters, residuals, rest_cosine
 from gyral.llm.vectors import DIM, SEED, centre, fit_sample, prepare, verified
 from gyral.plans.skew import split_join, spread_join
-from gyral.session import cut, discard
+from gyral.session import cut, discard, release
 
 #: One letter in BOUNDARY begins a chunk. Share of the pairs at exactly the least cosine that may share no chunk, letters at
 #: most, and simulated pairs from which the number of letters follows.
@@ -209,6 +209,7 @@ class DedupHistory:
         else:
             verdict = cut(verdict, "p2-verdict")
         discard(own, table)
+        release(self.spark)
         return verdict.select(F.when(F.col("batch") > -(2**62), F.col("batch")).alias("batch"), "id")
 
     def _against(self, table: DataFrame, old: DataFrame, limit: int) -> DataFrame:
