@@ -135,3 +135,72 @@ def adaptive_budget(size: Column, most: int, least: int = 1) -> Column:
     """Samples for a hole of a size; the edges are fixed values."""
     tier = F.when(size < 4654, 2).when(size < 18841, 4).when(size < 51128, 8).otherwise(most)
     return F.greatest(F.lit(least), F.least(tier, F.lit(most)))
+
+
+def along(volume: DataFrame, axis: str, matrix: list[list[tuple[int, float]]], *values: str) -> DataFrame:
+    """A linear map along an axis: cell s adds weight times its values to each target of matrix[s]; absent cells are 0.
+
+    The matrix is as long as the axis and holds few targets a cell; one aggregation, combined before the shuffle.
+    """
+    rest = [c for c in XYZ if c != axis]
+    rows = F.array(*(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(float(w)).alias("w")) for t, w in row)).cast("array<struct<t:int,w:double>>") for row in matrix))
+    spread = volume.select("vol", *rest, *values, F.explode(F.element_at(rows, F.col(axis) + 1)).alias("_k"))
+    return spread.groupBy("vol", *rest, F.col("_k.t").alias(axis)).agg(*(F.sum(F.col(v) * F.col("_k.w")).alias(v) for v in values)).select("vol", *XYZ, *values)
+
+
+def linear_matrix(size: int, target: int) -> list[list[tuple[int, float]]]:
+    """Resampling of an axis, ends on ends, linear in between."""
+    step = (size - 1) / max(1, target - 1)
+    return [[(i, w) for i in range(target) if (w := 1 - abs(i * step - s)) > 1e-12] for s in range(size)]
+
+
+def gaussian_matrix(size: int, sigma: float) -> list[list[tuple[int, float]]]:
+    """Smoothing of an axis, mirrored at both ends."""
+    weights = gaussian_weights(sigma)
+    r, rows = len(weights) // 2, [{} for _ in range(size)]
+    for t in range(size):
+        for o, w in enumerate(weights):
+            at = (t + o - r) % (2 * size)
+            at = at if at < size else 2 * size - 1 - at
+            rows[at][t] = rows[at].get(t, 0.0) + w
+    return [sorted(row.items()) for row in rows]
+
+
+def resampled_trilinear(volume: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int], *values: str) -> DataFrame:
+    """volume brought to another grid, axis by axis; cells that are absent count as 0 and stay absent where nothing is near."""
+    for c, n, m in zip(XYZ, shape, target):
+        volume = along(volume, c, linear_matrix(n, m), *(values or ("v",)))
+    return volume
+
+
+def smoothed_volume(volume: DataFrame, shape: tuple[int, int, int], sigma: float, *values: str) -> DataFrame:
+    """A 3-D Gaussian, axis by axis, mirrored at the borders; sigma 0 changes nothing."""
+    for c, n in zip(XYZ, shape):
+        volume = along(volume, c, gaussian_matrix(n, sigma), *(values or ("v",))) if sigma else volume
+    return volume
+
+
+def ssim_map(pairs: DataFrame, shape: tuple[int, int, int], data_range: float, sigma: float = 1.5) -> DataFrame:
+    """pairs(vol, x, y, z, p, t) on a full grid -> (vol, x, y, z, ssim): similarity of each cell's Gaussian surroundings."""
+    c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
+    sums = pairs.select("vol", *XYZ, "p", "t", (F.col("p") * F.col("p")).alias("pp"), (F.col("t") * F.col("t")).alias("tt"), (F.col("p") * F.col("t")).alias("pt"))
+    m = smoothed_volume(sums, shape, sigma, "p", "t", "pp", "tt", "pt")
+    p, t = F.col("p"), F.col("t")
+    value = (2 * p * t + c1) * (2 * (F.col("pt") - p * t) + c2) / ((p * p + t * t + c1) * (F.col("pp") - p * p + F.col("tt") - t * t + c2))
+    return m.select("vol", *XYZ, value.alias("ssim"))
+
+
+def turned(volume: DataFrame, plane: str, degrees: Column, shape: tuple[int, int, int]) -> DataFrame:
+    """volume(vol, x, y, z, v) turned about its centre by an angle of the volume, nearest neighbour, on the same grid.
+
+    Every target cell looks up the cell it comes from; cells that come from outside, or from an absent one, are absent.
+    """
+    a, b = plane
+    sizes = dict(zip(XYZ, shape))
+    angles = volume.select("vol").distinct().withColumn("_r", F.radians(degrees.cast("double")))
+    span = lambda c: F.explode(F.sequence(F.lit(0), F.lit(sizes[c] - 1)))
+    u, w = F.col("_a") - (sizes[a] - 1) / 2, F.col("_b") - (sizes[b] - 1) / 2
+    from_a = F.floor(F.cos("_r") * u + F.sin("_r") * w + (sizes[a] - 1) / 2 + 0.5).cast("int").alias(a)
+    from_b = F.floor(F.cos("_r") * w - F.sin("_r") * u + (sizes[b] - 1) / 2 + 0.5).cast("int").alias(b)
+    targets = angles.withColumn("_a", span(a)).withColumn("_b", span(b)).select("vol", F.col("_a"), F.col("_b"), from_a, from_b)
+    return volume.join(targets, ["vol", a, b]).drop(a, b).withColumnsRenamed({"_a": a, "_b": b}).select("vol", *XYZ, "v")

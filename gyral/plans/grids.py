@@ -86,16 +86,18 @@ def c6_gamma(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lloyd(rounds: int) -> str:
-    start = "c0 AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM events)"
-    steps = [start]
+    """Rounds until no centre moves by more than 1e-8 + 1e-5 of itself; from then on the centres stay as they are."""
+    steps = ["c0 AS MATERIALIZED (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM events)"]
     for r in range(rounds):
         near = f"CASE WHEN abs(value - c{r}.a) <= abs(value - c{r}.b) AND abs(value - c{r}.a) <= abs(value - c{r}.c) THEN 0 WHEN abs(value - c{r}.b) <= abs(value - c{r}.c) THEN 1 ELSE 2 END"
-        means = ", ".join(f"coalesce(avg(value) FILTER (j = {j}), any_value(c{r}.{n})) AS {n}" for j, n in enumerate("abc"))
-        steps.append(f"c{r + 1} AS (SELECT {means} FROM (SELECT value, {near} AS j FROM events, c{r}) e, c{r})")
+        means = ", ".join(f"coalesce(avg(value) FILTER (j = {j}), any_value({n})) AS n{n}" for j, n in enumerate("abc"))
+        done = " AND ".join(f"abs(n{n} - {n}) <= 1e-8 + 1e-5 * abs({n})" for n in "abc")
+        steps.append(f"m{r} AS MATERIALIZED (SELECT {means}, any_value(a) AS a, any_value(b) AS b, any_value(c) AS c FROM (SELECT value, c{r}.*, {near} AS j FROM events, c{r}))")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT {', '.join(f'CASE WHEN {done} THEN {n} ELSE n{n} END AS {n}' for n in 'abc')} FROM m{r})")
     return f"WITH {', '.join(steps)}, f AS (SELECT unnest([a, b, c]) AS centre FROM c{rounds}) SELECT row_number() OVER (ORDER BY centre) AS class, round(centre, 4) AS centre FROM f"
 
 
-@query(_lloyd(6))
+@query(_lloyd(25))
 def c6_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     centres = G.kmeans_1d(table(spark, sf_dir, "events"), "value")
     return spark.createDataFrame([(i + 1, round(c, 4)) for i, c in enumerate(centres)], "class bigint, centre double")

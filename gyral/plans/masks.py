@@ -75,7 +75,7 @@ def c5_dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("vol").agg(F.count("*").alias("cells"), F.sum(((F.col("x") * 12 + F.col("y")) * 8 + F.col("z")).cast("bigint")).alias("places"))
 
 
-_DM = f"""{VOX}, dm AS (SELECT c.vol, c.x, c.y, c.z, min((c.x - m.x) ** 2 + (c.y - m.y) ** 2 + (c.z - m.z) ** 2) AS d2 FROM vox c LEFT JOIN m ON c.vol = m.vol AND (c.x - m.x) ** 2 + (c.y - m.y) ** 2 + (c.z - m.z) ** 2 <= 16 GROUP BY ALL)"""
+_DM = f"""{VOX}, dm AS (SELECT c.vol, c.x, c.y, c.z, min((c.x - m.x) ** 2 + (c.y - m.y) ** 2 + (c.z - m.z) ** 2) AS d2 FROM vox c LEFT JOIN m ON c.vol = m.vol GROUP BY ALL)"""
 
 
 @query(f"WITH {_DM} SELECT vol, x, y, z, round(sqrt(d2), 6) AS dm FROM dm")

@@ -116,7 +116,7 @@ def c5_harvest_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tumour(spark, sf_dir).groupBy("vol").agg(F.count("*").alias("n")).groupBy("n").agg(F.count("*").alias("volumes"))
 
 
-_DM = f"""{VOX}, dm AS (SELECT c.vol, c.x, c.y, c.z, round(sqrt(min((c.x - m.x) ** 2 + (c.y - m.y) ** 2 + (c.z - m.z) ** 2)), 6) AS dm FROM vox c LEFT JOIN m ON c.vol = m.vol AND (c.x - m.x) ** 2 + (c.y - m.y) ** 2 + (c.z - m.z) ** 2 <= 16 GROUP BY ALL)"""
+_DM = f"""{VOX}, dm AS (SELECT c.vol, c.x, c.y, c.z, round(sqrt(min((c.x - m.x) ** 2 + (c.y - m.y) ** 2 + (c.z - m.z) ** 2)), 6) AS dm FROM vox c LEFT JOIN m ON c.vol = m.vol GROUP BY ALL)"""
 
 
 def _far(spark: SparkSession, sf_dir: str) -> DataFrame:
