@@ -76,18 +76,51 @@ def farthest_of(points: DataFrame, by: str, distance: str, n: int, seed: str, le
     return valid.drop("_n").join(draws.distinct(), [by, "_i"]).withColumn("_r", best).filter("_r = 1").select(by, *XYZ, distance)
 
 
-def placed(shapes: DataFrame, spots: DataFrame) -> DataFrame:
-    """Shape cells shapes(vol, x, y, z) moved so that their box is centred on spots(vol, place, px, py, pz)."""
-    box = shapes.groupBy("vol").agg(*((F.max(c) - F.min(c) + 1).alias(f"n{c}") for c in XYZ), *(F.min(c).alias(f"m{c}") for c in XYZ))
-    rows = shapes.join(box, "vol").join(spots, "vol")
+def placed(shapes: DataFrame, spots: DataFrame, *by: str) -> DataFrame:
+    """Shape cells shapes(vol, *by, x, y, z) moved so that their box is centred on spots(vol, *by, place, px, py, pz)."""
+    keys = ["vol", *by]
+    box = shapes.groupBy(*keys).agg(*((F.max(c) - F.min(c) + 1).alias(f"n{c}") for c in XYZ), *(F.min(c).alias(f"m{c}") for c in XYZ))
+    rows = shapes.join(box, keys).join(spots, keys)
     cell = lambda c: (F.col(c) - F.col(f"m{c}") + F.col(f"p{c}") - F.floor(F.col(f"n{c}") / 2)).cast("int").alias(c)
     low = lambda c: (F.col(f"p{c}") - F.floor(F.col(f"n{c}") / 2)).cast("int").alias(f"lo{c}")
     high = lambda c: (F.col(f"p{c}") - F.floor(F.col(f"n{c}") / 2) + F.col(f"n{c}")).cast("int").alias(f"hi{c}")
     return rows.select("vol", "place", *map(cell, XYZ), *map(low, XYZ), *map(high, XYZ))
 
 
-def validity(cells: DataFrame, tumour: DataFrame, brain: DataFrame, distances: DataFrame, shape: tuple[int, int, int], share: float, least: float) -> DataFrame:
-    """(vol, place, code): 0 valid, 1 below the grid, 2 beyond it, 3 on the tumour, 4 too little brain, 5 too near the tumour.
+def mirrored(shapes: DataFrame) -> DataFrame:
+    """shapes(vol, x, y, z) in the eight mirror images of its box, as turn 0 .. 7: bits 0, 1 and 2 mirror x, y and z."""
+    box = shapes.groupBy("vol").agg(*(f(c).alias(f"{e}{c}") for c in XYZ for e, f in (("lo", F.min), ("hi", F.max))))
+    rows = shapes.join(box, "vol").withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    flip = lambda i, c: F.when(F.getbit("turn", F.lit(i)) == 1, F.col(f"hi{c}") + F.col(f"lo{c}") - F.col(c)).otherwise(F.col(c)).alias(c)
+    return rows.select("vol", "turn", *(flip(i, c) for i, c in enumerate(XYZ)))
+
+
+def drawn_spots(keys: DataFrame, tries: int, seed: str, shape: tuple[int, int, int], first: int = 0) -> DataFrame:
+    """keys(vol) with `tries` places from `first` on, each at a drawn cell of the grid."""
+    rows = keys.select("vol").distinct().withColumn("place", F.explode(F.sequence(F.lit(first), F.lit(first + tries - 1))))
+    return rows.select("vol", "place", *(F.floor(uniform(f"{seed}{c}", F.col("vol"), F.col("place")) * n).cast("int").alias(f"p{c}") for c, n in zip(XYZ, shape)))
+
+
+def smallest_part(shapes: DataFrame, share: float) -> DataFrame:
+    """The first cells of each shape in x, y, z order, `share` of them, rounded down but at least one."""
+    n = F.count("*").over(Window.partitionBy("vol"))
+    rank = F.row_number().over(Window.partitionBy("vol").orderBy(*XYZ))
+    rows = shapes.select("vol", *XYZ, rank.alias("_r"), F.greatest(F.lit(1), F.floor(n * share)).alias("_n"))
+    return rows.filter(F.col("_r") <= F.col("_n")).select("vol", *XYZ)
+
+
+def first_masks(cells: DataFrame, codes: DataFrame, per: int | None = None) -> DataFrame:
+    """(vol, draw, place, x, y, z): the cells of each volume's first valid place; with `per`, of every `per` places in a row.
+
+    A draw without valid place has no rows.
+    """
+    draw = F.lit(0) if per is None else F.floor(F.col("place") / per).cast("int")
+    best = codes.filter("code = 0").groupBy("vol", draw.alias("draw")).agg(F.min("place").alias("place"))
+    return cells.select("vol", "place", *XYZ).join(best, ["vol", "place"]).select("vol", "draw", "place", *XYZ)
+
+
+def validity(cells: DataFrame, tumour: DataFrame, brain: DataFrame, distances: DataFrame, shape: tuple[int, int, int], share: float, least: float, cells_least: int = 0) -> DataFrame:
+    """(vol, place, code): 0 valid, 1 below the grid, 2 beyond it, 3 on the tumour, 4 too little brain, as a share or in cells, 5 too near the tumour.
 
     cells come from placed(); distances(vol, x, y, z, dm) holds the distance to the tumour where it is below `least` or
     anything up to a larger radius; null or absent means far. The first failing test gives the code.
@@ -100,8 +133,8 @@ def validity(cells: DataFrame, tumour: DataFrame, brain: DataFrame, distances: D
     )
     low = F.least(*(F.col(f"lo{c}") for c in XYZ)) < 0
     high = F.greatest(*(F.col(f"hi{c}") - n for c, n in zip(XYZ, shape))) > 0
-    seen = rows.groupBy("vol", "place").agg(F.bool_or(low).alias("low"), F.bool_or(high).alias("high"), F.count("t").alias("on"), (F.count("b") / F.count("*")).alias("share"), F.min("dm").alias("near"))
-    code = F.when(F.col("low"), 1).when(F.col("high"), 2).when(F.col("on") > 0, 3).when(F.col("share") < share, 4).when(F.col("near") < least, 5).otherwise(0)
+    seen = rows.groupBy("vol", "place").agg(F.bool_or(low).alias("low"), F.bool_or(high).alias("high"), F.count("t").alias("on"), (F.count("b") / F.count("*")).alias("share"), F.count("b").alias("held"), F.min("dm").alias("near"))
+    code = F.when(F.col("low"), 1).when(F.col("high"), 2).when(F.col("on") > 0, 3).when((F.col("share") < share) | (F.col("held") < cells_least), 4).when(F.col("near") < least, 5).otherwise(0)
     return seen.select("vol", "place", code.alias("code"))
 
 
