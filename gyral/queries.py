@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gyral.operators.donors import donor_files, donor_references
 from gyral.operators.orphans import orphan_references, orphan_report
-from gyral.plans import grids, kernels, masks, pipeline, placement, registry, retrieval, sampling  # noqa: F401 - registers its queries
+from gyral.plans import datasets, grids, kernels, masks, pipeline, placement, registry, retrieval, sampling  # noqa: F401 - registers its queries
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
