@@ -204,3 +204,17 @@ def turned(volume: DataFrame, plane: str, degrees: Column, shape: tuple[int, int
     from_b = F.floor(F.cos("_r") * w - F.sin("_r") * u + (sizes[b] - 1) / 2 + 0.5).cast("int").alias(b)
     targets = angles.withColumn("_a", span(a)).withColumn("_b", span(b)).select("vol", F.col("_a"), F.col("_b"), from_a, from_b)
     return volume.join(targets, ["vol", a, b]).drop(a, b).withColumnsRenamed({"_a": a, "_b": b}).select("vol", *XYZ, "v")
+
+
+def tiles(series: DataFrame, place: str, size: int, step: int) -> DataFrame:
+    """Each row once for every sliding window it is in, as tile, with its place in it as at; windows start at multiples of step."""
+    last = F.floor(F.col(place) / step)
+    back = F.sequence(F.lit(0), F.lit(-(-size // step) - 1))
+    rows = series.withColumn("tile", F.explode(F.transform(back, lambda b: last - b))).withColumn("at", F.col(place) - F.col("tile") * step)
+    return rows.filter((F.col("tile") >= 0) & (F.col("at") < size))
+
+
+def blended(tiled: DataFrame, key: str, value: str, size: int, sigma: float) -> DataFrame:
+    """(key, value): what the windows say of a row, averaged with Gaussian weights around the window's middle."""
+    weight = F.exp(F.pow((F.col("at") - (size - 1) / 2) / sigma, 2) * -0.5)
+    return tiled.groupBy(key).agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias(value))

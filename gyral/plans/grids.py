@@ -129,7 +129,6 @@ m AS (SELECT tile, avg(value) AS pred FROM t GROUP BY 1), w AS (SELECT event_id,
 SELECT event_id, round(sum(pred * w) / sum(w), 6) AS blended FROM w GROUP BY 1""")
 def c6_sliding_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = global_rank(table(spark, sf_dir, "events").select("event_id", "ts", "value"), "ts", "event_id", name="i")
-    tiles = e.withColumn("tile", F.explode(F.array(F.floor(F.col("i") / 12), F.floor(F.col("i") / 12) - 1))).withColumn("at", F.col("i") - F.col("tile") * 12).filter("tile >= 0 and at < 16")
-    pred = tiles.groupBy("tile").agg(F.avg("value").alias("pred"))
-    weight = F.exp(F.pow((F.col("at") - 7.5) / 4.0, 2) * -0.5)
-    return tiles.join(pred, "tile").groupBy("event_id").agg(F.round(F.sum(F.col("pred") * weight) / F.sum(weight), 6).alias("blended"))
+    tiled = G.tiles(e, "i", 16, 12)
+    pred = tiled.groupBy("tile").agg(F.avg("value").alias("blended"))
+    return G.blended(tiled.join(pred, "tile"), "event_id", "blended", 16, 4.0).withColumn("blended", F.round("blended", 6))

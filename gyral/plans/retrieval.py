@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from gyral.functions.vectors import cosine, dot, doubles, fingerprint, l2_unit, mae, mean, mse, z_score
 from gyral.operators.grids import moving_average
-from gyral.operators.retrieval import merge, paste, rerank, shortlist, similar_to_any
+from gyral.operators.retrieval import built_index, merge, paste, rerank, shortlist, similar_to_any
 from gyral.plans.registry import query, table
-from gyral.session import cut
+from gyral.session import cut, scratch_dir
 
 SHORT, K, VISIBLE = 15, 10, 48
 
@@ -90,6 +90,37 @@ def c2_paste(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.join(merge(_ranked(d)), ["query", "dim"]).select("query", F.col("dim").cast("bigint").alias("dim"), F.round(paste(F.col("own"), F.col("v"), F.col("dim") >= VISIBLE, 0.5), 6).alias("v"))
 
 
+@query(f"""WITH {_RANKED}, best AS (SELECT query, donor, dv, qv FROM ranked WHERE place = 1)
+SELECT query, u.i - 1 AS dim, round(CASE WHEN query % 40 = 0 OR u.i > 48 THEN dv[u.i] ELSE qv[u.i] END, 6) AS v FROM best, (SELECT unnest(range(1, 65)) AS i) u""")
+def c2_single_best_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best donor pasted into the hole, or, for some queries, the whole donor."""
+    best = _ranked(donors(spark, sf_dir)).filter("place = 1").select("query", F.posexplode(F.arrays_zip(doubles(F.col("query_vec")).alias("own"), doubles(F.col("donor_vec")).alias("other"))).alias("dim", "z"))
+    v = F.when(F.col("query") % 40 == 0, F.col("z.other")).otherwise(paste(F.col("z.own"), F.col("z.other"), F.col("dim") >= VISIBLE))
+    return best.select("query", F.col("dim").cast("bigint").alias("dim"), F.round(v, 6).alias("v"))
+
+
+_WHOLE = f"""{_E}, s AS (SELECT q.id AS query, d.id AS donor, q.vec AS qv, d.vec AS dv, list_cosine_similarity(q.vec, d.vec) AS cos FROM e q JOIN e d ON q.subject <> d.subject WHERE q.id % 20 = 0),
+short AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(cos, 12) DESC, donor) AS rank FROM s QUALIFY rank <= 15),
+ranked AS (SELECT * FROM short QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(list_distance(qv, dv) ** 2 / 64, 12), donor) <= 10)"""
+
+
+@query(f"WITH {_WHOLE} SELECT query, u.i - 1 AS dim, round(avg(dv[u.i]), 6) AS v FROM ranked, (SELECT unnest(range(1, 65)) AS i) u GROUP BY ALL")
+def c2_merged_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged donor of a whole healthy volume: no hole, all dimensions count."""
+    d = donors(spark, sf_dir)
+    whole = rerank(shortlist(asked(d), d, SHORT, 1, 64), asked(d), d, K, slice(0, 64))
+    return merge(whole).select("query", F.col("dim").cast("bigint").alias("dim"), F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {_E} SELECT id, round(list_sum(list_transform(vec, lambda x: abs((x - list_avg(vec)) / (list_stddev_pop(vec) + 1e-6)))), 4) AS z_l1 FROM e")
+def c1_index_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index is built once; the second call, though of fewer rows, reads what is there."""
+    at = scratch_dir(spark, "index")
+    built_index(donors(spark, sf_dir), at)
+    again = built_index(donors(spark, sf_dir).limit(1), at)
+    return again.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.abs(x)), 4).alias("z_l1"))
+
+
 _FP = f"""{_E}, b AS (SELECT id, list_transform(range(0, 16), lambda i: list_avg(vec[i * 4 + 1 : i * 4 + 4])) AS m FROM e),
 c AS (SELECT id, list_transform(m, lambda x: x - list_avg(m)) AS m FROM b),
 f AS (SELECT id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS f FROM c),
