@@ -13,6 +13,7 @@ from gyral.plans.masks import SHAPE, VOX, tumour, volumes
 from gyral.plans.registry import query, table
 from gyral.plans.sampling import u
 from gyral.session import cut, scratch_dir
+from gyral.sources.tables import linked, read_affines, write_affines, write_kinds
 
 
 def trilinear(source: str, shape: tuple, target: tuple, value: str = "v") -> str:
@@ -179,3 +180,27 @@ def c8_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, seen = B.progress(table(spark, sf_dir, "lineitem").select("l_tax"), taxed=F.col("l_tax") > 0.04)
     rows.write.format("noop").mode("overwrite").save()
     return spark.createDataFrame([(seen.get["rows"], seen.get["taxed"])], "rows bigint, taxed bigint")
+
+
+@query(f"SELECT '/work/links/C' || o_custkey || '/' || split_part({_PATH}, '/', 4) AS link, {_PATH} AS target FROM orders")
+def c8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked(_paths(spark, sf_dir).select("path", F.concat(F.lit("C"), "o_custkey").alias("name")), "/work/links/")
+
+
+@query("SELECT 'S' || s_suppkey AS case_id, CAST(i AS INTEGER) AS i, round(s_acctbal * (i + 1) / 3, 6) AS v FROM supplier, range(16) r(i)")
+def c8_affine_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An affine a case, written as text and read again."""
+    at = scratch_dir(spark, "affine")
+    affine = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.col("s_acctbal") * (i + 1) / 3)
+    write_affines(table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("case_id"), affine.alias("affine")), at)
+    return read_affines(spark, at).select("case_id", F.posexplode("affine").alias("i", "v")).withColumn("v", F.round("v", 6))
+
+
+@query("SELECT o_orderkey % 4 AS kind, count(*) AS n FROM orders GROUP BY 1")
+def c8_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of files in folders of their own; a second writer that may not overwrite changes nothing."""
+    at = scratch_dir(spark, "kinds")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("kind"))
+    write_kinds(rows, at)
+    write_kinds(rows.filter("kind = 1"), at, overwrite=False)
+    return spark.read.parquet(at).groupBy(F.col("kind").cast("bigint").alias("kind")).agg(F.count("*").alias("n"))

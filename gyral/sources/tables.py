@@ -56,9 +56,33 @@ def read_npz(spark: SparkSession, root: str, fields: list[str], schema: str, glo
     return files.select("path", "content").mapInPandas(run, f"{schema}, _path string, _error string")
 
 
-def write_kinds(rows: DataFrame, path: str, kind: str = "kind") -> None:
-    """One folder per kind of a case's files."""
-    rows.write.mode("overwrite").partitionBy(kind).parquet(path)
+def write_kinds(rows: DataFrame, path: str, kind: str = "kind", overwrite: bool = True) -> None:
+    """One folder per kind of a case's files; without overwrite, what is there stays and nothing is written."""
+    rows.write.mode("overwrite" if overwrite else "ignore").partitionBy(kind).parquet(path)
+
+
+def write_affines(rows: DataFrame, path: str) -> None:
+    """rows(case_id, affine array of 16 numbers) as text, a folder per case with four lines of four numbers.
+
+    Null affines and those of another length are left out.
+    """
+    lines = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.array_join(F.transform(F.slice("affine", i * 4 + 1, 4), lambda x: F.format_string("%.18e", x)), " "))
+    good = rows.filter(F.size("affine") == 16).select("case_id", F.array_join(lines, "\n").alias("value"))
+    good.repartition("case_id").write.mode("overwrite").partitionBy("case_id").text(path)
+
+
+def read_affines(spark: SparkSession, path: str) -> DataFrame:
+    """(case_id, affine) from write_affines()."""
+    rows = spark.read.schema("value string, case_id string").text(path, wholetext=True)
+    return rows.select("case_id", F.transform(F.regexp_extract_all("value", F.lit(r"\S+"), F.lit(0)), lambda x: x.cast("double")).alias("affine"))
+
+
+def linked(files: DataFrame, root: str, prefix: str = "") -> DataFrame:
+    """files(path, name) -> (link, target): where each file stands under root, by its name; no data is copied.
+
+    The view takes the place of a folder of links: read `target`, speak of `link`. Null names and paths give no rows.
+    """
+    return files.filter("path is not null and name is not null").select(F.concat(F.lit(f"{root.rstrip('/')}/{prefix}"), "name", F.lit("/"), F.substring_index("path", "/", -1)).alias("link"), F.col("path").alias("target"))
 
 
 def write_metrics(rows: DataFrame, path: str) -> None:

@@ -33,6 +33,20 @@ def test_sinks(spark, tmp_path):
     assert T.read_metrics(spark, str(tmp_path / "m"), "id int, kind string").count() == 2
 
 
+def test_affines_links_and_overwriting(spark, tmp_path):
+    rows = [("a", [float(i) / 7 for i in range(16)]), ("b", None), ("c", [1.0])]
+    T.write_affines(spark.createDataFrame(rows, "case_id string, affine array<double>"), str(tmp_path / "affine"))
+    assert [(r.case_id, r.affine) for r in T.read_affines(spark, str(tmp_path / "affine")).collect()] == [rows[0]]
+    lines = next((tmp_path / "affine" / "case_id=a").glob("part*")).read_text().split("\n")
+    assert [len(x.split()) for x in lines[:4]] == [4] * 4
+    files = spark.createDataFrame([("/x/y/t1n.nii", "c1"), (None, "c2"), ("/x/z", None)], "path string, name string")
+    assert [tuple(r) for r in T.linked(files, "/work/", "s-").collect()] == [("/work/s-c1/t1n.nii", "/x/y/t1n.nii")]
+    df = spark.createDataFrame([(1, "mask"), (2, "t1n")], "id int, kind string")
+    T.write_kinds(df, str(tmp_path / "k"))
+    T.write_kinds(df.filter("id = 1"), str(tmp_path / "k"), overwrite=False)
+    assert spark.read.parquet(str(tmp_path / "k")).count() == 2
+
+
 def test_stream_equals_batch(spark, sf, tmp_path):
     table = spark.read.parquet(f"{sf}/events.parquet")
     table.coalesce(1).write.parquet(str(tmp_path / "in"))
