@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from gyral.operators.voxels import XYZ
+from gyral.operators.voxels import XYZ, by_volume, numbers
 from gyral.plans.ranks import group_rank
 
 
@@ -154,18 +158,6 @@ def linear_matrix(size: int, target: int) -> list[list[tuple[int, float]]]:
     return [[(i, w) for i in range(target) if (w := 1 - abs(i * step - s)) > 1e-12] for s in range(size)]
 
 
-def gaussian_matrix(size: int, sigma: float) -> list[list[tuple[int, float]]]:
-    """Smoothing of an axis, mirrored at both ends."""
-    weights = gaussian_weights(sigma)
-    r, rows = len(weights) // 2, [{} for _ in range(size)]
-    for t in range(size):
-        for o, w in enumerate(weights):
-            at = (t + o - r) % (2 * size)
-            at = at if at < size else 2 * size - 1 - at
-            rows[at][t] = rows[at].get(t, 0.0) + w
-    return [sorted(row.items()) for row in rows]
-
-
 def resampled_trilinear(volume: DataFrame, shape: tuple[int, int, int], target: tuple[int, int, int], *values: str) -> DataFrame:
     """volume brought to another grid, axis by axis; cells that are absent count as 0 and stay absent where nothing is near."""
     for c, n, m in zip(XYZ, shape, target):
@@ -173,21 +165,83 @@ def resampled_trilinear(volume: DataFrame, shape: tuple[int, int, int], target:
     return volume
 
 
+def _mirrored_sums(a: np.ndarray, weights: list[float]) -> np.ndarray:
+    """a(x, y, z, any) weighted along x, y and z in turn, mirrored at the borders."""
+    r = len(weights) // 2
+    for axis in range(3):
+        n, out = a.shape[axis], np.zeros(a.shape)
+        for o, w in enumerate(weights):
+            at = (np.arange(n) + o - r) % (2 * n)
+            out += w * a.take(np.where(at < n, at, 2 * n - 1 - at), axis)
+        a = out
+    return a
+
+
+def _smooth(vols: pa.Array, index: np.ndarray, table: pa.Table, shape: tuple[int, int, int], weights: list[float], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(smoothed, cell, known): arrays (value, cell, vol) of all volumes, each row's cell, and whether the grid has it."""
+    x, y, z = (numbers(table, c, -1).astype(np.int64) for c in XYZ)
+    known = (x >= 0) & (x < shape[0]) & (y >= 0) & (y < shape[1]) & (z >= 0) & (z < shape[2]) & table.column(0).combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    cell = np.where(known, (x * shape[1] + y) * shape[2] + z, 0)
+    k, cells = len(vols), math.prod(shape)
+    place = cell[known] * k + index[known]
+    sums = np.stack([np.bincount(place, v[known], cells * k).reshape(*shape, k) for v in values], 3)
+    out = _mirrored_sums(sums.reshape(*shape, -1), weights).reshape(cells, len(values), k)
+    return out.swapaxes(0, 1), cell, known
+
+
+def _weights(sigma: float) -> list[float]:
+    return gaussian_weights(sigma) if sigma else [1.0]
+
+
 def smoothed_volume(volume: DataFrame, shape: tuple[int, int, int], sigma: float, *values: str) -> DataFrame:
-    """A 3-D Gaussian, axis by axis, mirrored at the borders; sigma 0 changes nothing."""
-    for c, n in zip(XYZ, shape):
-        volume = along(volume, c, gaussian_matrix(n, sigma), *(values or ("v",))) if sigma else volume
-    return volume
+    """(vol, x, y, z, values) of every cell of the grid: a 3-D Gaussian, axis by axis, mirrored at the borders.
+
+    Absent cells and nulls count as 0, cells off the grid don't count; sigma 0 only fills the grid. A volume is smoothed in
+    one task, so that only the cells that are there are shuffled, by vol and once.
+    """
+    names, weights, cells = values or ("v",), _weights(sigma), math.prod(shape)
+    own = volume.select("vol", *XYZ, *(F.col(v).cast("double").alias(v) for v in names))
+    schema = StructType([own.schema["vol"], *(StructField(c, IntegerType()) for c in XYZ), *(StructField(v, DoubleType()) for v in names)])
+
+    def run(vols: pa.Array, index: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        k = len(vols)
+        sums, _, _ = _smooth(vols, index, table, shape, weights, [numbers(table, v, 0.0) for v in names])
+        grid = [np.tile(i.ravel().astype(np.int32), k) for i in np.indices(shape)]
+        yield pa.RecordBatch.from_arrays([vols.take(pa.array(np.repeat(np.arange(k), cells))), *map(pa.array, grid), *(pa.array(s.T.ravel()) for s in sums)], names=["vol", *XYZ, *names])
+
+    return by_volume(own, run, schema, cells * len(names))
+
+
+def smoothed_cells(rows: DataFrame, shape: tuple[int, int, int], sigma: float, value: str = "v", name: str = "soft") -> DataFrame:
+    """rows(vol, x, y, z, value, any) with what smoothed_volume has of the row's cell; null where the grid has no such cell.
+
+    A row without value is not part of the volume and only asks for its cell.
+    """
+    weights, own = _weights(sigma), rows.select("vol", *(c for c in rows.columns if c != "vol")).withColumn(value, F.col(value).cast("double"))
+    schema = StructType([*own.schema.fields, StructField(name, DoubleType())])
+
+    def run(vols: pa.Array, index: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        sums, cell, known = _smooth(vols, index, table, shape, weights, [numbers(table, value, 0.0)])
+        yield from table.append_column(name, pa.array(sums[0, cell, index], mask=~known)).combine_chunks().to_batches()
+
+    return by_volume(own, run, schema, math.prod(shape))
 
 
 def ssim_map(pairs: DataFrame, shape: tuple[int, int, int], data_range: float, sigma: float = 1.5) -> DataFrame:
-    """pairs(vol, x, y, z, p, t) on a full grid -> (vol, x, y, z, ssim): similarity of each cell's Gaussian surroundings."""
+    """pairs(vol, x, y, z, p, t, any) on a full grid -> the same with ssim for p and t: similarity of each cell's Gaussian surroundings."""
     c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
-    sums = pairs.select("vol", *XYZ, "p", "t", (F.col("p") * F.col("p")).alias("pp"), (F.col("t") * F.col("t")).alias("tt"), (F.col("p") * F.col("t")).alias("pt"))
-    m = smoothed_volume(sums, shape, sigma, "p", "t", "pp", "tt", "pt")
-    p, t = F.col("p"), F.col("t")
-    value = (2 * p * t + c1) * (2 * (F.col("pt") - p * t) + c2) / ((p * p + t * t + c1) * (F.col("pp") - p * p + F.col("tt") - t * t + c2))
-    return m.select("vol", *XYZ, value.alias("ssim"))
+    weights, kept = _weights(sigma), ["vol", *(c for c in pairs.columns if c not in ("vol", "p", "t"))]
+    rows = pairs.select(*kept, *(F.col(c).cast("double").alias(c) for c in "pt"))
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("ssim", DoubleType())])
+
+    def run(vols: pa.Array, index: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b = (numbers(table, c, 0.0) for c in "pt")
+        sums, cell, known = _smooth(vols, index, table, shape, weights, [a, b, a * a, b * b, a * b])
+        p, t, pp, tt, pt = sums
+        value = (2 * p * t + c1) * (2 * (pt - p * t) + c2) / ((p * p + t * t + c1) * (pp - p * p + tt - t * t + c2))
+        yield from table.select(kept).append_column("ssim", pa.array(value[cell, index], mask=~known)).combine_chunks().to_batches()
+
+    return by_volume(rows, run, schema, 5 * math.prod(shape))
 
 
 def turned(volume: DataFrame, plane: str, degrees: Column, shape: tuple[int, int, int]) -> DataFrame:

@@ -2,15 +2,67 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gyral.operators.components import components
 
 XYZ = ("x", "y", "z")
 
+#: Cells of dense arrays that a task holds at once; a volume with more of them is an array of its own.
+DENSE_CELLS = 1 << 21
+#: Rows of a batch that goes back to Spark.
+OUT_ROWS = 1 << 16
+
+
+def whole_volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut anew so that each table holds all rows of its volumes."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        index = batch.column(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        start = int(np.searchsorted(index, index[-1]))
+        if start or held and held[0].column(0)[0] != t.column(0)[0]:
+            yield pa.concat_tables([*held, t.slice(0, start)])
+            held = []
+        held.append(t.slice(start))
+    if held:
+        yield pa.concat_tables(held)
+
+
+def by_volume(rows: DataFrame, run: Callable[[pa.Array, np.ndarray, pa.Table], Iterator[pa.RecordBatch]], schema: StructType, cells: int) -> DataFrame:
+    """run(vols, index, table) over whole volumes: table has their rows, index says for each row which of vols it is of.
+
+    vol is the first column of rows. One shuffle by vol, none where the rows lie so already. A call gets so many volumes
+    of `cells` cells as make DENSE_CELLS, at least one.
+    """
+    step = max(1, DENSE_CELLS // cells)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_volumes(batches):
+            named = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+            index = named.indices.to_numpy()
+            for first in range(0, len(named.dictionary), step):
+                low, high = np.searchsorted(index, (first, first + step))
+                for out in run(named.dictionary.slice(first, step), index[low:high] - first, table.slice(low, high - low)):
+                    for at in range(0, out.num_rows, OUT_ROWS):
+                        yield out.slice(at, OUT_ROWS)
+
+    return rows.repartition("vol").sortWithinPartitions("vol").mapInArrow(each, schema)
+
+
+def numbers(table: pa.Table, name: str, null: float) -> np.ndarray:
+    """A column as numbers, with `null` for null."""
+    return table.column(name).combine_chunks().fill_null(null).to_numpy(zero_copy_only=False)
+
 
 def offsets(radius: int, metric: str = "manhattan") -> list[tuple[int, int, int]]:
     """Offsets within a radius: 'manhattan' (6-neighbour steps), 'box' (26-neighbour steps) or 'euclid'."""

@@ -12,14 +12,16 @@ from gyral.session import cut
 SHAPE = (12, 12, 8)
 
 
-def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def volumes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """(vol, x, y, z, v); with `whole` a volume's cells lie in one partition, so that what is done by volume needs no other shuffle."""
     li = table(spark, sf_dir, "lineitem")
     place = {"x": F.col("l_orderkey") % 12, "y": F.col("l_partkey") % 12, "z": F.floor(F.col("l_orderkey") / 12) % 8}
-    return li.select(F.col("l_suppkey").alias("vol"), *(c.cast("int").alias(n) for n, c in place.items()), F.col("l_quantity").alias("v")).groupBy("vol", "x", "y", "z").agg(F.max("v").alias("v"))
+    cells = li.select(F.col("l_suppkey").alias("vol"), *(c.cast("int").alias(n) for n, c in place.items()), F.col("l_quantity").alias("v"))
+    return (cells.repartition("vol") if whole else cells).groupBy("vol", "x", "y", "z").agg(F.max("v").alias("v"))
 
 
-def tumour(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return volumes(spark, sf_dir).filter("v >= 47").drop("v")
+def tumour(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return volumes(spark, sf_dir, whole).filter("v >= 47").drop("v")
 
 
 VOX = """vox AS (SELECT l_suppkey AS vol, CAST(l_orderkey % 12 AS INTEGER) AS x, CAST(l_partkey % 12 AS INTEGER) AS y, CAST(l_orderkey // 12 % 8 AS INTEGER) AS z, max(l_quantity) AS v FROM lineitem GROUP BY ALL),
