@@ -10,6 +10,8 @@ from gyral.plans.registry import query, table
 from gyral.session import cut
 
 SHAPE = (12, 12, 8)
+#: Which cells of a volume are its tumour.
+IN_TUMOUR = "v >= 47"
 
 
 def volumes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
@@ -20,8 +22,8 @@ def volumes(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     return (cells.repartition("vol") if whole else cells).groupBy("vol", "x", "y", "z").agg(F.max("v").alias("v"))
 
 
-def tumour(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return volumes(spark, sf_dir, whole).filter("v >= 47").drop("v")
+def tumour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return volumes(spark, sf_dir).filter(IN_TUMOUR).drop("v")
 
 
 VOX = """vox AS (SELECT l_suppkey AS vol, CAST(l_orderkey % 12 AS INTEGER) AS x, CAST(l_partkey % 12 AS INTEGER) AS y, CAST(l_orderkey // 12 % 8 AS INTEGER) AS z, max(l_quantity) AS v FROM lineitem GROUP BY ALL),

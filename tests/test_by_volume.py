@@ -68,3 +68,18 @@ def test_gaussian_keeps_what_is_not_finite_within_its_reach(spark):
     got = G.smoothed_volume(spark.createDataFrame([("a", 0, 0, 0, float("nan")), ("b", 0, 0, 0, 1.0)], CELL.replace("bigint", "string")), long, 1.0).collect()
     assert {r.x for r in got if r.vol == "a" and np.isnan(r.v)} == set(range(5)) and not any(np.isnan(r.v) for r in got if r.vol == "b")
     assert G.smoothed_volume(spark.createDataFrame([], CELL), long, 1.0).count() == 0
+
+
+def test_blurred_prior_is_one_shuffle(spark, sf):
+    assert shuffles(queries()["c2_blurred_prior"](spark, sf)) == 1
+
+
+def test_smoothed_cells_keep_their_rows(spark, small_batches):
+    a, rows = sparse(spark)
+    more = [(0, 1, 1, 1, None), (0, 1, 1, 1, None), (3, 5, 0, 0, 9.0), (3, None, 0, 0, 9.0), (None, 0, 0, 0, 9.0)]
+    df = spark.createDataFrame(rows + more, CELL).withColumn("tag", F.concat("vol", F.lit("/"), "x"))
+    got = G.smoothed_cells(df, SHAPE, 1.0).collect()
+    assert sorted(map(str, (tuple(r)[:6] for r in got))) == sorted(map(str, (tuple(r) for r in df.collect())))
+    for r in got:
+        off = r.vol is None or r.x is None or r.x == 5
+        assert r.soft is None if off else r.soft == pytest.approx(mirrored(a[r.vol], 1.0)[r.x, r.y, r.z])
