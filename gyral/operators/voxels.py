@@ -222,12 +222,23 @@ def cropped(volume: DataFrame, starts: DataFrame, crop: tuple[int, int, int]) ->
     return rows.filter(within(crop))
 
 
-def padded(volume: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
-    """Every cell of the grid, 0 where the volume has none."""
+def grid_of(volume: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """(vol, x, y, z): every cell of the grid for each volume."""
     nx, ny, nz = shape
     grid = volume.select("vol").distinct().select("vol", F.explode(F.sequence(F.lit(0), F.lit(nx * ny * nz - 1))).alias("i"))
-    grid = grid.select("vol", F.floor(F.col("i") / (ny * nz)).cast("int").alias("x"), F.pmod(F.floor(F.col("i") / nz), F.lit(ny)).cast("int").alias("y"), F.pmod("i", F.lit(nz)).cast("int").alias("z"))
-    return grid.join(volume, ["vol", *XYZ], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    return grid.select("vol", F.floor(F.col("i") / (ny * nz)).cast("int").alias("x"), F.pmod(F.floor(F.col("i") / nz), F.lit(ny)).cast("int").alias("y"), F.pmod("i", F.lit(nz)).cast("int").alias("z"))
+
+
+def padded(volume: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """Every cell of the grid, 0 where the volume has none."""
+    return grid_of(volume, shape).join(volume, ["vol", *XYZ], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+
+def filled(volume: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+    """padded() for volumes that have a cell once: where a volume's cells lie in one partition, nothing is shuffled."""
+    own = volume.filter(F.col("vol").isNotNull() & within(shape)).select("vol", *XYZ, "v")
+    rows = own.unionByName(grid_of(volume, shape).withColumn("v", F.lit(None).cast(own.schema["v"].dataType)))
+    return rows.groupBy("vol", *XYZ).agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("v"))
 
 
 def centred_start(centre: Column, crop: int, size: int) -> Column:

@@ -83,3 +83,31 @@ def test_smoothed_cells_keep_their_rows(spark, small_batches):
     for r in got:
         off = r.vol is None or r.x is None or r.x == 5
         assert r.soft is None if off else r.soft == pytest.approx(mirrored(a[r.vol], 1.0)[r.x, r.y, r.z])
+
+
+def test_similarity_map_shuffles_the_cells_that_are_there(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries()["c7_ssim_map"](spark, sf)
+        assert df._jdf.queryExecution().executedPlan().toString().count("Join") == 0 and shuffles(df) == 3  # the cells, their volumes' names, the sums
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_filled_is_padded(spark):
+    _, rows = sparse(spark, 3)
+    df = spark.createDataFrame([*rows, (7, 0, 0, 0, None), (8, -1, 0, 0, 2.0), (8, None, 0, 0, 2.0), (None, 0, 0, 0, 2.0)], CELL)
+    cells = lambda d: sorted(map(str, (tuple(r) for r in d.select("vol", *V.XYZ, "v").collect())))
+    assert cells(V.filled(df, SHAPE)) == cells(V.padded(df, SHAPE))
+
+
+def test_similarity_of_values_by_brute_force(spark, small_batches):
+    a, rows = sparse(spark, 2, 4)
+    b = np.random.default_rng(5).random(a.shape)
+    pairs = [(i, x, y, z, float(a[i, x, y, z]), float(b[i, x, y, z]), x == 1) for i, x, y, z in np.ndindex(a.shape)]
+    got = G.ssim_map(spark.createDataFrame(pairs, "vol bigint, x int, y int, z int, p double, t double, inside boolean"), SHAPE, 1.0).collect()
+    assert len(got) == 120 and all(r.inside == (r.x == 1) for r in got)
+    for i in range(2):
+        p, t, pp, tt, pt = (mirrored(m, 1.5) for m in (a[i], b[i], a[i] ** 2, b[i] ** 2, a[i] * b[i]))
+        want = (2 * p * t + 1e-4) * (2 * (pt - p * t) + 9e-4) / ((p * p + t * t + 1e-4) * (pp - p * p + tt - t * t + 9e-4))
+        assert all(r.ssim == pytest.approx(want[r.x, r.y, r.z]) for r in got if r.vol == i)
