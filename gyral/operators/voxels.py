@@ -161,19 +161,43 @@ def min_distance(a: DataFrame, b: DataFrame) -> DataFrame:
     return p.join(q, "vol").groupBy("vol").agg(F.sqrt(F.min(d2)).alias("d"))
 
 
-def holes(mask: DataFrame, boxes: DataFrame, shape: tuple[int, int, int]) -> DataFrame:
+def holes(mask: DataFrame, *_bounds: object) -> DataFrame:
     """Cells that no path of 6-neighbour background cells connects with the volume's border.
 
-    boxes(vol, x0..z1) bound the masks; only background inside a box, one cell wider, is looked at.
+    Each volume is flooded from outside in one task, as an array as large as the masks' box and one cell wider: sweeps
+    along the axes, there and back, until nothing changes. Boxes and shape, which some callers give, aren't needed.
     """
-    span = lambda c: F.sequence(F.col(f"{c}0") - 1, F.col(f"{c}1"))
-    frame = boxes.select("vol", *(F.col(f"{c}{e}") for c in XYZ for e in "01"), F.explode(span("x")).alias("x")).withColumn("y", F.explode(span("y"))).withColumn("z", F.explode(span("z")))
-    air = frame.join(mask.select("vol", *XYZ).distinct(), ["vol", *XYZ], "left_anti")
-    moved = air.select("vol", *((F.col(c) - F.col(f"{c}0") + 1).alias(c) for c in XYZ), *(F.col(f"{c}0") for c in XYZ))
-    wide = tuple(n + 2 for n in shape)
-    labels = labelled(moved, wide, 6)
-    inside = labels.filter("label <> 0").join(boxes.select("vol", *(F.col(f"{c}0") for c in XYZ)), "vol")
-    return inside.select("vol", *((F.col(c) + F.col(f"{c}0") - 1).alias(c) for c in XYZ))
+    schema = mask.select("vol", *(F.lit(0).alias(c) for c in XYZ)).schema
+
+    def enclosed(vols: pa.Array, index: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        low, size = at.min(0) - 1, np.ptp(at, 0) + 3
+        if len(vols) > 1 and len(vols) * size.astype(float).prod() > DENSE_CELLS:
+            half = len(vols) // 2
+            cut_at = np.searchsorted(index, half)
+            yield from enclosed(vols.slice(0, half), index[:cut_at], at[:cut_at])
+            yield from enclosed(vols.slice(half), index[cut_at:] - half, at[cut_at:])
+            return
+        air = np.ones((*size, len(vols)), bool)
+        air[(*(at - low).T, index)] = False
+        out = np.zeros_like(air)
+        for axis in range(3):
+            np.moveaxis(out, axis, 0)[[0, -1]] = True
+        reached = -1
+        while reached != (reached := np.count_nonzero(out)):
+            for axis in range(3):
+                o, a = np.moveaxis(out, axis, 0), np.moveaxis(air, axis, 0)
+                for i in range(1, len(o)):
+                    o[i] |= o[i - 1] & a[i]
+                for i in range(len(o) - 2, -1, -1):
+                    o[i] |= o[i + 1] & a[i]
+        *found, of = np.nonzero(air & ~out)
+        yield pa.RecordBatch.from_arrays([vols.take(pa.array(of)), *(pa.array((f + n).astype(np.int32)) for f, n in zip(found, low))], ["vol", *XYZ])
+
+    def run(vols: pa.Array, index: np.ndarray, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        return enclosed(vols, index, np.stack([numbers(table, c, 0).astype(np.int64) for c in XYZ], 1))
+
+    known = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in ("vol", *XYZ)))
+    return by_volume(mask.filter(known).select("vol", *XYZ), run, schema, 1)
 
 
 def packed(mask: DataFrame, boxes: DataFrame, *by: str) -> DataFrame:

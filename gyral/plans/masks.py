@@ -100,8 +100,7 @@ air AS (SELECT g.* FROM g ANTI JOIN (SELECT * FROM vox WHERE v >= 20) s ON g.vol
 out AS (SELECT vol, x, y, z FROM air WHERE x = -1 AND y = -1 AND z = -1 UNION SELECT a.vol, a.x, a.y, a.z FROM out o JOIN air a ON a.vol = o.vol AND abs(a.x - o.x) + abs(a.y - o.y) + abs(a.z - o.z) = 1)
 SELECT vol, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, CAST(z AS INTEGER) AS z FROM ({_HOLES})""")
 def c5_fill_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = cut(volumes(spark, sf_dir).filter("v >= 20").drop("v"), "mask")
-    return V.holes(mask, V.bounding_boxes(mask, "vol"), SHAPE)
+    return V.holes(volumes(spark, sf_dir, whole=True).filter("v >= 20").drop("v"))
 
 
 @query(f"WITH {VOX}, h AS (SELECT vol, x, y, z FROM vox WHERE v <= 4) SELECT vol, count(*) FILTER (a AND b) AS both_n, count(*) FILTER (a) AS a_n, count(*) AS any_n FROM (SELECT vol, x, y, z, bool_or(a) AS a, bool_or(b) AS b FROM (SELECT vol, x, y, z, true AS a, false AS b FROM m UNION ALL SELECT vol, y, x, z, false, true FROM h) GROUP BY 1, 2, 3, 4) GROUP BY 1")

@@ -111,3 +111,44 @@ def test_similarity_of_values_by_brute_force(spark, small_batches):
         p, t, pp, tt, pt = (mirrored(m, 1.5) for m in (a[i], b[i], a[i] ** 2, b[i] ** 2, a[i] * b[i]))
         want = (2 * p * t + 1e-4) * (2 * (pt - p * t) + 9e-4) / ((p * p + t * t + 1e-4) * (pp - p * p + tt - t * t + 9e-4))
         assert all(r.ssim == pytest.approx(want[r.x, r.y, r.z]) for r in got if r.vol == i)
+
+
+def enclosed(solid):
+    """Cells of a volume's background that a flood from outside does not reach, by brute force."""
+    solid = np.pad(solid, 1)
+    seen, todo = {(0, 0, 0)}, [(0, 0, 0)]
+    while todo:
+        at = todo.pop()
+        for axis, step in ((a, s) for a in range(3) for s in (-1, 1)):
+            to = tuple(c + step * (i == axis) for i, c in enumerate(at))
+            if all(0 <= c < n for c, n in zip(to, solid.shape)) and not solid[to] and to not in seen:
+                seen.add(to)
+                todo.append(to)
+    return {(x - 1, y - 1, z - 1) for x, y, z in np.ndindex(solid.shape) if not solid[x, y, z] and (x, y, z) not in seen}
+
+
+def test_holes_are_one_shuffle_and_no_rounds(spark, sf):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("holes", "holes")
+    try:
+        df = queries()["c5_fill_holes"](spark, sf)
+        assert len(tracker.getJobIdsForGroup("holes")) <= 1 and shuffles(df) == 1  # the table's schema
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_holes_by_brute_force(spark, small_batches):
+    rng = np.random.default_rng(7)
+    solid = rng.random((8, 7, 6, 5)) < np.linspace(0.5, 0.8, 8)[:, None, None, None]
+    winding = np.ones((1, 7, 6, 5), bool)  # a corridor that turns at each end, open at its far end only
+    winding[0, 1:6, 1::2, 2] = False
+    winding[0, 5, 2, 2] = winding[0, 1, 4, 2] = winding[0, 5, 5, 2] = False
+    winding[0, 3, 3, 0] = False
+    solid = np.concatenate([solid, winding, np.ones((1, 7, 6, 5), bool)])
+    solid[9, 3, 3, 3] = solid[9, 2, 3, 3] = False
+    rows = [(int(v), int(x), int(y) - 2, int(z)) for v, x, y, z in np.argwhere(solid)]
+    mask = spark.createDataFrame([*rows, rows[0], (None, 0, 0, 0), (3, None, 0, 0)], "vol bigint, x int, y int, z int")
+    got = V.holes(mask).collect()
+    assert len(got) == len(set(got)) and {(r.x, r.y, r.z) for r in got if r.vol == 9} == {(3, 1, 3), (2, 1, 3)}
+    assert {tuple(r) for r in got} == {(v, x, y - 2, z) for v in range(10) for x, y, z in enclosed(solid[v])}
+    assert not any(r.vol == 8 for r in got) and V.holes(mask.filter("false")).count() == 0
