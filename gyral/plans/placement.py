@@ -10,7 +10,7 @@ from gyral.operators import voxels as V
 from gyral.plans.masks import SHAPE, VOX, tumour, volumes
 from gyral.plans.registry import query
 from gyral.plans.sampling import u
-from gyral.session import cut
+from gyral.session import cut, release
 
 #: Tries per mirror image, brain share and brain cells that a placement needs.
 PER, SHARE, LEAST = 6, 0.25, 2
@@ -76,6 +76,7 @@ def c5_placed_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_masks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A tumour-like mask and a healthy one of at most 0.7 of its cells that keeps off the first one grown by a step."""
     first = cut(placed_masks(spark, sf_dir), "placed").select("vol", *V.XYZ)
+    release(spark)
     small = cut(S.smallest_part(shapes(spark, sf_dir).join(first.select("vol").distinct(), "vol", "left_semi"), 0.7), "small")
     grown = V.dilated(first, 1, SHAPE)
     cells = cut(S.placed(small, S.drawn_spots(small, 4 * PER, "healthy", SHAPE)), "tries")

@@ -152,3 +152,13 @@ def test_holes_by_brute_force(spark, small_batches):
     assert len(got) == len(set(got)) and {(r.x, r.y, r.z) for r in got if r.vol == 9} == {(3, 1, 3), (2, 1, 3)}
     assert {tuple(r) for r in got} == {(v, x, y - 2, z) for v in range(10) for x, y, z in enclosed(solid[v])}
     assert not any(r.vol == 8 for r in got) and V.holes(mask.filter("false")).count() == 0
+
+
+def test_retrieved_prior_shuffles_cells_by_volume_only(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries()["c9_retrieved_prior"](spark, sf)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(vol#" in plan and not any(", x#" in line for line in plan.split("\n") if "Exchange" in line)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
